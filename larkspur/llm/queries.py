@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from larkspur.llm.bpe import op1_bpe
+from larkspur.llm.decontaminate import OP8_SQL, op8_decontaminate
+from larkspur.llm.fingerprints import op5_fingerprints
+from larkspur.llm.licenses import op6_licenses
+from larkspur.llm.pii import op3_pii
+from larkspur.llm.quality import op10_quality
+from larkspur.llm.urls import OP7_SQL, op7_urls
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op3_pii, op5_fingerprints, op6_licenses, op7_urls, op8_decontaminate, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_urls": OP7_SQL, "op8_decontaminate": OP8_SQL}
