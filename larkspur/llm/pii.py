@@ -314,7 +314,8 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     spans = F.col("larkspur_spans")
     name = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter(spans, lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return find_pii(docs, built_in_model(spark)).select(
         "doc_id",
         *counts,
