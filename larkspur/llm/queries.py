@@ -6,6 +6,7 @@ from larkspur.llm.bpe import op1_bpe
 from larkspur.llm.decontaminate import OP8_SQL, op8_decontaminate
 from larkspur.llm.fingerprints import op5_fingerprints
 from larkspur.llm.licenses import op6_licenses
+from larkspur.llm.neardup import op9_neardup
 from larkspur.llm.ngram_lm import op2_lm
 from larkspur.llm.pii import op3_pii
 from larkspur.llm.quality import op10_quality
@@ -13,7 +14,7 @@ from larkspur.llm.urls import OP7_SQL, op7_urls
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_lm, op3_pii, op5_fingerprints, op6_licenses, op7_urls, op8_decontaminate, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_lm, op3_pii, op5_fingerprints, op6_licenses, op7_urls, op8_decontaminate, op9_neardup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
