@@ -10,11 +10,12 @@ from larkspur.llm.neardup import op9_neardup
 from larkspur.llm.ngram_lm import op2_lm
 from larkspur.llm.pii import op3_pii
 from larkspur.llm.quality import op10_quality
+from larkspur.llm.suffix_dedup import op4_suffix_dedup
 from larkspur.llm.urls import OP7_SQL, op7_urls
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_lm, op3_pii, op5_fingerprints, op6_licenses, op7_urls, op8_decontaminate, op9_neardup, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_lm, op3_pii, op4_suffix_dedup, op5_fingerprints, op6_licenses, op7_urls, op8_decontaminate, op9_neardup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
