@@ -1,11 +1,40 @@
-"""All registered queries of the library, with their SQL."""
+"""All registered queries of the library, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from larkspur.plans import graph_queries, memory_queries, search_queries, source_queries, vector_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["r3_hybrid"](spark, sf_dir)
