@@ -145,15 +145,15 @@ def lateral_score(o: RecallOptions, now_ms: int) -> tuple[Column, Column]:
 
 
 def recall(memories: DataFrame, queries: DataFrame, o: RecallOptions, now_ms: int, suppressed: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, similarity, lateral, rank): queries (qid, vector) against all records that pass the gates."""
+    """(qid, id, score, similarity, aside, rank): queries (qid, vector) against all records that pass the gates."""
     live = memories.where(gates(o, now_ms))
     if suppressed is not None:
         live = live.join(suppressed.select("id"), "id", "left_anti")
     scored = live.crossJoin(small(queries)).select("qid", "id", rounded(scan_score(o, now_ms)).alias("score"), rounded(similarity(o)).alias("similarity"), *([c.alias(n) for c, n in zip(lateral_score(o, now_ms), ("far", "lateral_score"))] if o.lateral else []))
     if not o.lateral:
-        return top_k(scored.withColumn("lateral", F.lit(False)), o.top_k, F.desc("score"), F.asc("id"))
-    direct = top_k(scored.where(~F.col("far")).select("qid", "id", "score", "similarity", F.lit(False).alias("lateral")), o.top_k, F.desc("score"), F.asc("id"))
-    aside = top_k(scored.where("far and lateral_score > 0").select("qid", "id", rounded(F.col("lateral_score")).alias("score"), "similarity", F.lit(True).alias("lateral")), max(1, o.top_k // 3), F.desc("score"), F.asc("id"))
+        return top_k(scored.withColumn("aside", F.lit(False)), o.top_k, F.desc("score"), F.asc("id"))
+    direct = top_k(scored.where(~F.col("far")).select("qid", "id", "score", "similarity", F.lit(False).alias("aside")), o.top_k, F.desc("score"), F.asc("id"))
+    aside = top_k(scored.where("far and lateral_score > 0").select("qid", "id", rounded(F.col("lateral_score")).alias("score"), "similarity", F.lit(True).alias("aside")), max(1, o.top_k // 3), F.desc("score"), F.asc("id"))
     return top_k(direct.drop("rank").unionByName(aside.drop("rank")), o.top_k, F.desc("score"), F.asc("id"))
 
 

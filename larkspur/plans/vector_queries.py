@@ -1 +1,160 @@
-"""Queries."""
+"""Queries on vector compression and approximate indexes."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from larkspur.operators import ann
+from larkspur.operators import quantize as Q
+from larkspur.operators import search as S
+from larkspur.plans.registry import query
+from larkspur.plans.tables import query_vectors, r6, vectors
+
+ASKED = tuple(range(0, 500, 50))
+CAL = """x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+ lim AS (SELECT dim, min(x) - CAST(0.025 AS DOUBLE) * (max(x) - min(x)) AS low, max(x) + CAST(0.025 AS DOUBLE) * (max(x) - min(x)) AS high FROM x GROUP BY dim),
+ cal AS (SELECT dim, low, CASE WHEN high > low THEN (high - low) / 255 ELSE 1 END AS scale FROM lim),
+ code AS (SELECT vec_id, x.dim, x, low, scale, greatest(0, least(255, CAST(floor((x - low) / scale + CAST(0.5 AS DOUBLE)) AS INTEGER))) AS c FROM x JOIN cal USING (dim))"""
+
+
+def recall_rows(spark, sf_dir, index, k: int = 10, **options):
+    q = query_vectors(spark, sf_dir, *ASKED)
+    return ann.recall_at(index.search(q, k, **options), S.knn(vectors(spark, sf_dir), q, k, "l2"))
+
+
+@query(f"WITH {CAL} SELECT CAST(dim AS INTEGER) AS dim, {r6('low')} AS low, {r6('scale')} AS scale FROM cal")
+def a8_scalar_calibration(spark, sf_dir):
+    return Q.calibrate_scalar(vectors(spark, sf_dir)).select("dim", S.rounded(F.col("low")).alias("low"), S.rounded(F.col("scale")).alias("scale"))
+
+
+@query(f"WITH {CAL} SELECT vec_id AS id, CAST(sum(c) AS BIGINT) AS total, array_to_string(list(c ORDER BY dim), ',') AS codes FROM code GROUP BY vec_id")
+def v17_scalar_codes(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    codes = Q.scalar_codes(F.col("embedding"), F.col("lows"), F.col("scales"))
+    made = v.crossJoin(F.broadcast(Q.as_arrays(Q.calibrate_scalar(v)))).select("id", codes.alias("c"))
+    return made.select("id", F.aggregate("c", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.array_join(F.col("c").cast("array<string>"), ",").alias("codes"))
+
+
+@query(f"WITH {CAL}, r AS (SELECT vec_id, dim, c * scale + low AS y FROM code), q AS (SELECT dim, y AS q FROM r WHERE vec_id = 0) SELECT vec_id AS id, {r6('sum(y * q)')} AS dot, {r6('sqrt(sum((y - q) * (y - q)))')} AS l2, {r6('sum(y * q) / (sqrt(sum(y * y)) * sqrt(sum(q * q)))')} AS cosine FROM r JOIN q USING (dim) GROUP BY vec_id")
+def c11_quantized_distances(spark, sf_dir):
+    from larkspur.functions import vectors as V
+
+    v = vectors(spark, sf_dir)
+    decoded = Q.decode_scalar(Q.scalar_codes(F.col("embedding"), F.col("lows"), F.col("scales")), F.col("lows"), F.col("scales"))
+    made = v.crossJoin(F.broadcast(Q.as_arrays(Q.calibrate_scalar(v)))).select("id", decoded.alias("y"))
+    asked = F.broadcast(made.where("id = 0").select(F.col("y").alias("q")))
+    y, q = F.col("y"), F.col("q")
+    return made.crossJoin(asked).select("id", S.rounded(V.dot(y, q)).alias("dot"), S.rounded(V.distance(y, q)).alias("l2"), S.rounded(V.cosine(y, q)).alias("cosine"))
+
+
+@query(f"WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), l AS (SELECT dim, x, (row_number() OVER (PARTITION BY dim ORDER BY x, vec_id) - 1) * 16 // count(*) OVER (PARTITION BY dim) AS level FROM x) SELECT CAST(dim AS INTEGER) AS dim, CAST(level AS INTEGER) AS level, {r6('max(x)')} AS upper, {r6('avg(x)')} AS centre FROM l GROUP BY dim, level")
+def a9_equal_frequency(spark, sf_dir):
+    return Q.equal_frequency(vectors(spark, sf_dir)).select("dim", "level", S.rounded(F.col("upper")).alias("upper"), S.rounded(F.col("centre")).alias("centre"))
+
+
+@query()
+def v18_equal_frequency_codes(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = Q.EqualFrequency.fit(v)
+    return Q.with_codes(v, q.encode).select("id", F.hex("codes").alias("codes"))
+
+
+@query()
+def v19_turbo_codes(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = Q.Turbo.fit(Q.matrix_of(v), 4)
+    return Q.with_codes(v, lambda x: Q.pack_bits(q.encode(x)[0], 4)).select("id", F.length("codes").alias("bytes"), F.hex("codes").alias("codes"))
+
+
+@query()
+def v20_standardised_codes(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = Q.Standardised.fit(Q.matrix_of(v), 8)
+    return Q.with_codes(v, lambda x: q.encode(x).view(np.uint8)).select("id", F.hex("codes").alias("codes"))
+
+
+@query()
+def a10_standardised_calibration(spark, sf_dir):
+    q = Q.Standardised.fit(Q.matrix_of(vectors(spark, sf_dir)), 8)
+    return spark.createDataFrame([(i, float(m), float(s)) for i, (m, s) in enumerate(zip(q.mean, q.scale))], "dim int, mean double, scale double")
+
+
+@query("SELECT vec_id AS id, true AS same FROM embeddings")
+def v21_bit_packing(spark, sf_dir):
+    """Round trip of packed 4-bit and 2-bit codes."""
+    v = vectors(spark, sf_dir)
+
+    def check(x):
+        four, two = (np.abs(x * 1000).astype(np.int64) % 16).astype(np.uint8), (np.abs(x * 1000).astype(np.int64) % 4).astype(np.uint8)
+        d = x.shape[1]
+        same = (Q.unpack_bits(Q.pack_bits(four, 4), 4, d) == four).all(1) & (Q.unpack_bits(Q.pack_bits(two, 2), 2, d) == two).all(1)
+        return same[:, None].astype(np.uint8)
+
+    return Q.with_codes(v, check).select("id", (F.hex("codes") == "01").alias("same"))
+
+
+_NIBBLE = "(CAST(floor(abs(CAST({} AS DOUBLE)) * 1000) AS BIGINT) % 16)"
+
+
+@query(f"SELECT e.vec_id AS id, CAST(list_sum([{_NIBBLE.format('x')} * {_NIBBLE.format('z.embedding[i]')} FOR x, i IN e.embedding]) AS BIGINT) AS dot FROM embeddings e, embeddings z WHERE z.vec_id = 0")
+def c12_packed_dot(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    nibbles = lambda x: (np.floor(np.abs(x) * 1000).astype(np.int64) % 16).astype(np.uint8)
+    first = Q.pack_bits(nibbles(np.array([v.where("id = 0").first()["embedding"]], dtype=np.float64)), 4)[0]
+
+    def dots(x):
+        return Q.packed_dot(Q.pack_bits(nibbles(x), 4), first, 4, x.shape[1]).astype(">i8").view(np.uint8).reshape(len(x), 8)
+
+    return Q.with_codes(v, dots).select("id", F.conv(F.hex("codes"), 16, 10).cast("long").alias("dot"))
+
+
+@query()
+def a11_kmeans(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    centres = ann.kmeans(v, 10)
+    return v.select("label", F.element_at(ann.nearest_cells(F.col("embedding"), centres, 1), 1).alias("cell")).groupBy("cell", "label").count()
+
+
+@query()
+def a12_centroid_router(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    centres = ann.split_router(v, ann.kmeans(v, 4), spread=0.5)
+    return v.select(F.element_at(ann.nearest_cells(F.col("embedding"), centres, 1), 1).alias("cell")).groupBy("cell").count()
+
+
+@query()
+def v7_cell_index(spark, sf_dir):
+    return recall_rows(spark, sf_dir, ann.build("cells", vectors(spark, sf_dir)))
+
+
+@query()
+def v3_graph_substitute(spark, sf_dir):
+    """In place of one-machine graph indexes: more probes, for the recall that a wide beam gives."""
+    return recall_rows(spark, sf_dir, ann.build("cells", vectors(spark, sf_dir)), probes=16)
+
+
+@query()
+def v8_product_cells(spark, sf_dir):
+    return recall_rows(spark, sf_dir, ann.build("product", vectors(spark, sf_dir)))
+
+
+@query()
+def v9_quantized_cells(spark, sf_dir):
+    return recall_rows(spark, sf_dir, ann.build("product", vectors(spark, sf_dir), m=16), oversample=8)
+
+
+@query()
+def v10_product_quantizer(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return Q.with_codes(v, Q.ProductQuantizer.fit(v).encode).select("id", F.hex("codes").alias("codes"))
+
+
+@query()
+def v12_adaptive_cells(spark, sf_dir):
+    return recall_rows(spark, sf_dir, ann.build("adaptive", vectors(spark, sf_dir), threshold=50))
+
+
+@query()
+def s5_quantized_store(spark, sf_dir):
+    return recall_rows(spark, sf_dir, ann.build("standardised", vectors(spark, sf_dir)))
