@@ -45,92 +45,108 @@ REMEMBERED = 300_000
 
 
 class EliasFano:
-    """A monotone sequence of n integers below `universe`: low bits packed by bytes, high bits in unary.
+    """A monotone sequence of n integers below `universe`: low bits packed, high bits in unary.
 
-    The high half is a bit vector with a one for each element after a zero for each step of the high part;
-    zeros are counted once for every 512 bits. `below(h)` finds the number of elements whose high part is
-    less than h by selecting the h-th zero.
+    The high half is a bit vector with a one for each element, a zero for each step of the high part; zeros
+    are counted at every 64th bit. The elements with high part h follow the h-th zero: selecting it gives
+    their first index, the run of ones their number.
     """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+        # eight bytes from any byte on
+        self.window = np.lib.stride_tricks.as_strided(low.view("<u8"), (max(0, len(low) - 7),), (1,)) if len(low) else np.zeros(1, np.uint64)
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
-        ratio = max(1, universe // max(n, 1))
-        low_bits = min(56, max(0, ratio.bit_length() - 1) // 8 * 8)  # whole bytes, so that reads are plain
+        low_bits = min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
         high_part = (values >> np.uint64(low_bits)).astype(np.int64)
         size = n + (universe >> low_bits) + 2
-        bits = np.zeros((size + 511) // 512 * 512, np.uint8)
+        bits = np.zeros((size + 63) // 64 * 64, np.uint8)
         bits[high_part + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = bits.reshape(-1, 512).sum(axis=1, dtype=np.int64)
-        zeros = np.concatenate([[0], np.cumsum(512 - ones)])
-        low = values[:, None].view(np.uint8).reshape(n, 8)[:, : low_bits // 8].copy() if n else np.zeros((0, low_bits // 8), np.uint8)
-        return cls(n, low_bits, low, high, zeros)
+        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))]).astype(np.uint32 if size < 2**32 else np.uint64)
+        # element i lies at bit i * low_bits; a few at a time, so that the bits don't take eight times the room
+        packed = np.zeros(((n * low_bits + 7) // 8 + 8 + 7) // 8 * 8, np.uint8)
+        for s in range(0, n if low_bits else 0, 1 << 16):
+            part = values[s : s + (1 << 16)] & np.uint64((1 << low_bits) - 1)
+            unpacked = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low_bits]
+            raw = np.packbits(unpacked.reshape(-1), bitorder="little")
+            packed[s * low_bits // 8 : s * low_bits // 8 + len(raw)] |= raw
+        return cls(n, low_bits, packed, high, zeros)
 
     def parts(self) -> dict[str, np.ndarray]:
-        return {"low": self.low.reshape(-1), "high": self.high, "zeros": self.zeros}
-
-    def below(self, h: np.ndarray) -> np.ndarray:
-        """Number of elements with a high part below h (int64, not negative)."""
-        result = np.zeros(len(h), np.int64)
-        some = np.flatnonzero(h > 0)
-        if not len(some):
-            return result
-        k = h[some] - 1  # the place of the zero with this number
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        left = k - self.zeros[block]
-        words = self.high[block[:, None] * 8 + np.arange(8)]
-        counts = 64 - np.bitwise_count(words).astype(np.int64)
-        upto = np.cumsum(counts, axis=1)
-        at = (upto <= left[:, None]).sum(axis=1)
-        rows = np.arange(len(at))
-        left -= np.where(at > 0, upto[rows, np.maximum(at - 1, 0)], 0)
-        word = ~words[rows, at]
-        place = np.zeros(len(at), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):  # select the left-th one of the word
-            low = word & np.uint64((1 << step) - 1)
-            ones = np.bitwise_count(low).astype(np.int64)
+        return {"low": self.low, "high": self.high, "zeros": self.zeros}
+
+    def bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First index and number of the elements with each high part h."""
+        k = h - 1  # the zero before them has this number
+        word = np.maximum(np.searchsorted(self.zeros, k.astype(np.int64), side="right") - 1, 0)
+        bits = self.high[word]
+        left = k - self.zeros[word].astype(np.int64)
+        rest = ~bits
+        place = np.zeros(len(k), np.int64)
+        for step in (32, 16, 8, 4, 2, 1):  # select the left-th zero of the word
+            low = rest & np.uint64((1 << step) - 1)
+            ones = np.bitwise_count(low)
             go = ones <= left
-            left -= np.where(go, ones, 0)
-            place += np.where(go, step, 0)
-            word = np.where(go, word >> np.uint64(step), low)
-        result[some] = block * 512 + at * 64 + place - k
-        return result
+            left = left - ones * go
+            place += step * go
+            rest = np.where(go, rest >> np.uint64(step), low)
+        place[h == 0] = -1
+        first = word * 64 + place - k
+        first[h == 0] = 0
+        after = ~bits >> np.minimum(place + 1, 63).astype(np.uint64)
+        number = np.bitwise_count((after & (~after + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        over = np.flatnonzero((after == 0) | (place == 63))
+        if len(over):  # the run goes on in the next word, or further
+            following = self.high[np.minimum(word[over] + 1, len(self.high) - 1)]
+            rest = ~following
+            number[over] = 63 - place[over] + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+            far = over[(rest == 0) | (word[over] + 1 >= len(self.high))]
+            if len(far):
+                number[far] = np.where(h[far] + 1 > self.zeros[-1], self.n, self._first(h[far] + 1)) - first[far]
+        return first, number
+
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        k = h - 1
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        left = k - self.zeros[word].astype(np.int64)
+        bits = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        place = ((1 - bits.astype(np.int64)).cumsum(axis=1) <= left[:, None]).sum(axis=1)
+        return word * 64 + place - k
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(i), np.uint64)
-        width = self.low_bits // 8
-        for b in range(width):
-            value |= self.low[i * width + b].astype(np.uint64) << np.uint64(8 * b)
-        return value
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        bit = i * self.low_bits
+        return (self.window[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each x (uint64), -1 where the successor of x isn't x."""
+        result = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
-            return np.full(len(x), -1, np.int64)
+            return result
         high, want = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
-        a, b = self.below(high), self.below(high + 1)
-        end = b.copy()
-        while True:  # successor of the low half among equal high halves
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                break
-            mid = (a[open_] + b[open_]) >> 1
-            less = self.low_of(mid) < want[open_]
-            a[open_] = np.where(less, mid + 1, a[open_])
-            b[open_] = np.where(less, b[open_], mid)
-        hit = a < end
-        same = np.zeros(len(x), bool)
-        same[hit] = self.low_of(a[hit]) == want[hit]
-        return np.where(same, a, -1)
+        first, number = self.bucket(high)
+        open_ = np.flatnonzero(number > 0)
+        first, last, want = first[open_], (first + number)[open_], want[open_]
+        # successor of the low half among equal high halves: their number is one on average
+        while len(open_):
+            mid = (first + last) >> 1
+            value = self.low_of(mid)
+            hit = value == want
+            result[open_[hit]] = mid[hit]
+            less = value < want
+            first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
+            on = ~hit & (first < last)
+            open_, first, last, want = open_[on], first[on], last[on], want[on]
+        return result
 
     def values(self) -> np.ndarray:
-        """The whole sequence (tests and merges)."""
-        bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little")
-        ones = np.flatnonzero(bits)[: self.n]
+        """The whole sequence (tests)."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(np.arange(self.n))
 
 
@@ -224,7 +240,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = int(END_HASH) if word == b"E" else xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -232,16 +248,10 @@ def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(hash of each token, offsets of the texts); every text ends with the end token."""
     known = worker_cache().setdefault("lm_hashes", Hashes())
     raw, o = data.tobytes().lower(), off.tolist()
-    lists = [raw[a:b].split() for a, b in zip(o, o[1:])]
-    sizes = np.array([len(x) + 1 for x in lists], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    hashes = np.empty(at[-1], np.uint64)
-    ends = at[1:] - 1
-    inner = np.ones(at[-1], bool)
-    inner[ends] = False
-    hashes[inner] = np.fromiter((known[w] for x in lists for w in x), np.uint64, int(at[-1]) - len(lists))
-    hashes[ends] = END_HASH
-    return hashes, at
+    # the texts have no capital letters any more, so that one can mark their ends in a single split
+    words = b" E ".join([raw[a:b] for a, b in zip(o, o[1:])] + [b""]).split()
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return hashes, np.concatenate([[0], np.flatnonzero(hashes == END_HASH) + 1])
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -288,60 +298,84 @@ class Trie:
         at[at == self.size] = 0
         return np.where(self.hashes[at] == own, at, -1)[back]
 
-    def shard_of_id(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, ids, side="right") - 1
-
-    def child(self, k: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Rank in level k of (context's rank in level k-1, word), -1 if there is none; ranks are by shard."""
-        rank = np.full(len(word), -1, np.int64)
-        some = np.flatnonzero((context >= 0) & (word >= 0))
-        if len(some):
-            order = some[np.argsort(shard[some], kind="stable")]
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for group in np.split(order, cuts):
-                keys = context[group].astype(np.uint64) * np.uint64(self.size) + word[group].astype(np.uint64)
-                # neighbouring texts repeat n-grams: each distinct key is searched once, in order
-                own, back = np.unique(keys, return_inverse=True)
-                rank[group] = self.level(k, int(shard[group[0]])).keys.find(own)[back]
-        return rank
-
-    def values(self, k: int, shard: np.ndarray, rank: np.ndarray, left: bool) -> np.ndarray:
-        result = np.full(len(rank), 1.0 if left else 0.0)
-        some = np.flatnonzero(rank >= 0)
-        order = some[np.argsort(shard[some], kind="stable")]
-        for group in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-            level = self.level(k, int(shard[group[0]]))
-            codes, table = (level.left_codes, level.left_table) if left else (level.codes, level.table)
-            result[group] = table[codes[rank[group]]]
-        return result
+    def bounds(self, k: int) -> np.ndarray:
+        """First global rank of each shard at level k."""
+        if k == 1:
+            return self.starts
+        if ("bounds", k) not in self.levels:
+            self.levels["bounds", k] = map_arrays(f"{self.folder}/bounds{k}")[0]["starts"]
+        return self.levels["bounds", k]
+
+    def lookup(self, k: int, context: np.ndarray, word: np.ndarray, score: bool) -> tuple[np.ndarray, ...]:
+        """Global rank at level k of (context's global rank, word), -1 if there is none; with the discounted
+        probability and the context's share for shorter contexts where `score` asks for them.
+
+        Each distinct pair is searched once, in order, shard by shard.
+        """
+        rank, value, left = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
+        some = np.flatnonzero((context >= 0) & ((word >= 0) | score))
+        if not len(some):
+            return rank, value, left
+        own_context, own_word, back = distinct_pairs(context[some], word[some] + 1, self.size + 1)
+        own_word = own_word - 1
+        inside, after = self.bounds(k - 1), self.bounds(k)
+        found, p, rest = np.full(len(own_word), -1, np.int64), np.zeros(len(own_word)), np.ones(len(own_word))
+        cuts = np.searchsorted(own_context, inside)
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = int(cuts[shard]), int(cuts[shard + 1])
+            level = self.level(k, shard)
+            local = own_context[a:b] - inside[shard]
+            known = own_word[a:b] >= 0
+            at = np.full(b - a, -1, np.int64)
+            at[known] = level.keys.find(local[known].astype(np.uint64) * np.uint64(self.size) + own_word[a:b][known].astype(np.uint64))
+            hit = np.flatnonzero(at >= 0)
+            found[a + hit] = at[hit] + after[shard]
+            if score:
+                p[a + hit] = level.table[level.codes[at[hit]]]
+                rest[a:b] = level.left_table[level.left_codes[local]]
+        rank[some] = found[back]
+        if score:
+            value[some], left[some] = p[back], rest[back]
+        return rank, value, left
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each token of texts with offsets `at`."""
-        n = len(ids)
         known = ids >= 0
-        p = np.full(n, 1.0 / (self.size + 1))
+        p = np.full(len(ids), 1.0 / (self.size + 1))
         if self.total:
-            share = self.discount * self.size / self.total
-            p = share * p
+            p *= self.discount * self.size / self.total
             p[known] += np.maximum(self.counts[ids[known]] - self.discount, 0) / self.total
-        place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-        shard = np.where(known, self.shard_of_id(np.maximum(ids, 0)), 0)
-        rank = np.where(known, ids - self.starts[shard], -1)  # of the 1-gram that ends at each token
+        rank = ids  # global rank of the k-gram that ends at each token
         for k in range(2, self.order + 1):
-            # the context of token t is the (k-1)-gram that ends at t-1
-            context, where = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-            context[1:], where[1:] = rank[:-1], shard[:-1]
-            context[place < k - 1] = -1
-            found = self.child(k, where, context, ids)
-            has = context >= 0
-            if has.any():
-                left = np.ones(n)
-                left[has] = self.values(k, where[has], context[has], True)
-                p = left * p + self.values(k, where, found, False)
-            rank, shard = found, where
+            rank, value, left = self.lookup(k, preceding(rank, at, k), ids, True)
+            p = left * p + value
         return np.log10(p)
 
 
+def preceding(rank: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Rank of the (k-1)-gram that ends before each token, -1 where the text has none."""
+    before = np.full(len(rank), -1, np.int64)
+    before[1:] = rank[:-1]
+    starts = at[:-1]
+    for j in range(k - 1):  # the first tokens of a text have no such context
+        own = starts + j
+        before[own[own < at[1:]]] = -1
+    return before
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs (a, b) with b < size, and the place of each given pair among them."""
+    if not len(a) or int(a.max()) < 2**63 // max(1, size):
+        own, back = np.unique(a * size + b, return_inverse=True)
+        return own // size, own % size, back
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return x[first], y[first], back
+
+
 def trie(folder: str, order: int) -> Trie:
     cache = worker_cache()
     key = ("trie", folder, order)
@@ -398,7 +432,7 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
             return _rows(list(_send(k, c, shard_of(k, shards))))
 
         for batch in batches:
-            for _, data, off in text_chunks(batch, most=8 << 20):
+            for _, data, off in text_chunks(batch):
                 k, c = distinct(token_hashes(data, off)[0])
                 keys.append(k)
                 counts.append(c)
@@ -430,40 +464,36 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
         def count_grams(batches, k=k):
             model = trie(folder, k - 1)
-            keys, counts, where, held = [], [], [], 0
+            bounds, size = model.bounds(k - 1), max(1, model.size)
+            held, n = [], 0
 
             def flush():
-                s, key, c = np.concatenate(where), np.concatenate(keys), np.concatenate(counts)
-                o = np.lexsort((key, s))
-                s, key, c = s[o], key[o], c[o]
-                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (s[1:] != s[:-1])]))
-                return _rows(list(_send(key[first], np.add.reduceat(c, first), s[first])))
+                """Blocks by shard; a key is relative to the shard's first context."""
+                a, b, c = (np.concatenate(x) for x in zip(*held))
+                x, y, back = distinct_pairs(a, b, size)
+                counts = np.bincount(back, c, len(x)).astype(np.int64)
+                cuts = np.searchsorted(x, bounds)
+                pieces = []
+                for shard in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(int(cuts[shard]), int(cuts[shard + 1]))
+                    pieces.append((shard, pack((x[own] - bounds[shard]).astype(np.uint64) * np.uint64(size) + y[own].astype(np.uint64), counts[own])))
+                return _rows(pieces)
 
             for batch in batches:
-                for _, data, off in text_chunks(batch, most=4 << 20):
+                for _, data, off in text_chunks(batch):
                     hashes, at = token_hashes(data, off)
                     ids = model.ids(hashes)
-                    place = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
-                    shard = model.shard_of_id(ids)
-                    rank = ids - model.starts[shard]
+                    rank = ids
                     for j in range(2, k):
-                        before, whence = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
-                        before[1:], whence[1:] = rank[:-1], shard[:-1]
-                        before[place < j - 1] = -1
-                        rank, shard = model.child(j, whence, before, ids), whence
-                    some = np.flatnonzero(place >= k - 1)
-                    s, context = shard[some - 1], rank[some - 1]
-                    key = context.astype(np.uint64) * np.uint64(model.size) + ids[some].astype(np.uint64)
-                    o = np.lexsort((key, s))
-                    s, key = s[o], key[o]
-                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (s[1:] != s[:-1])])) if len(key) else np.zeros(0, np.int64)
-                    where.append(s[first])
-                    keys.append(key[first])
-                    counts.append(np.diff(np.append(first, len(key))))
-                    held += len(first)
-                    if held > MOST_HELD:
+                        rank = model.lookup(j, preceding(rank, at, j), ids, False)[0]
+                    context = preceding(rank, at, k)
+                    some = np.flatnonzero(context >= 0)
+                    x, y, back = distinct_pairs(context[some], ids[some], size)
+                    held.append((x, y, np.bincount(back, minlength=len(x))))
+                    n += len(x)
+                    if n > MOST_HELD:
                         yield flush()
-                        keys, counts, where, held = [], [], [], 0
+                        held, n = [], 0
             if held:
                 yield flush()
 
@@ -475,8 +505,9 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], ["shard", "n"])
 
         blocks = map_arrow(source, count_grams, "shard int, block binary")
-        done = {r.shard for r in reduce_blocks(blocks, write_level, "shard int, n long").collect()}
-        for shard in set(range(shards)) - done:  # ranges without n-grams
+        done = {r.shard: r.n for r in reduce_blocks(blocks, write_level, "shard int, n long").collect()}
+        save_arrays(f"{folder}/bounds{k}", {"starts": np.concatenate([[0], np.cumsum([done.get(s, 0) for s in range(shards)])]).astype(np.int64)})
+        for shard in set(range(shards)) - set(done):  # ranges without n-grams
             model = Trie(folder, k - 1)
             contexts = int(model.starts[shard + 1] - model.starts[shard]) if k == 2 else model.level(k - 1, shard).keys.n
             arrays, meta = level_arrays(np.zeros(0, np.uint64), np.zeros(0, np.int64), contexts, model.size)
@@ -546,7 +577,7 @@ def score(df: DataFrame, model: tuple[str, int], order: int = ORDER, id_col: str
     def run(batches):
         own = trie(folder, order)
         for batch in batches:
-            for part, data, off in text_chunks(batch, most=2 << 20):
+            for part, data, off in text_chunks(batch):
                 hashes, at = token_hashes(data, off)
                 ids = own.ids(hashes)
                 known = ids >= 0
