@@ -53,13 +53,14 @@ def digests(text: str) -> np.ndarray:
     """Distinct 64-bit digests of a text's paragraphs; the n-th repeat of one has its own digest."""
     units = [u.encode() for u in paragraphs(text)]
     if len(set(units)) == len(units):
-        return np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64)
+        return np.unique(np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64))
     seen: dict[bytes, int] = {}
     values = []
     for u in units:
         n = seen[u] = seen.get(u, -1) + 1
-        values.append(xxhash.xxh3_64_intdigest(u, seed=n))
-    return np.array(values, np.uint64)
+        # the number is hashed with the text: seeds of a hash of very short texts collide
+        values.append(xxhash.xxh3_64_intdigest(u + b"\n%d" % n if n else u))
+    return np.unique(np.array(values, np.uint64))
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
