@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
@@ -79,6 +80,43 @@ def bm25(
     return top_k(total, k, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings at rest, in one folder a term bucket, so that a search reads the buckets of its terms only."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+    analyzer: Callable[[Column], Column] = T.standard_terms
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", analyzer: Callable[[Column], Column] = T.standard_terms) -> TextIndex:
+        """One read for the postings, one for lengths; terms of a bucket lie sorted, so files skip row groups too."""
+        index = cls(docs.sparkSession, path, buckets, analyzer)
+        listed = postings(docs, id_col, text_col, analyzer).withColumn("bucket", index.bucket(F.col("term")))
+        listed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        corpus_stats(docs, text_col, analyzer).write.mode("overwrite").parquet(f"{path}/stats")
+        return index
+
+    def bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def search(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(qid, id, score, rank) as `bm25` gives them."""
+        wanted = queries.select("qid", F.explode(self.analyzer(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+        # as many rows as the index has buckets, at most
+        used = [r.bucket for r in wanted.select(self.bucket(F.col("term")).alias("bucket")).distinct().collect()]
+        words = small(wanted.select("term").distinct())
+        tf = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(used)).join(words, "term", "left_semi")
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        stats = self.spark.read.parquet(f"{self.path}/stats").select(F.col("n_docs").alias("n"), F.col("average_length").alias("average"))
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+        scored = tf.join(F.broadcast(df), "term").join(small(wanted), "term").crossJoin(F.broadcast(stats))  # stats: one row
+        total = scored.groupBy("qid", "id").agg(rounded(F.sum(weight * F.col("times"))).alias("score")).where(F.col("score") > 0)
+        return top_k(total, k, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
+
+
 def sparse_search(weights: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Dot products over shared terms: weights (id, term, weight), queries (qid, term, weight)."""
     q = queries.select("qid", "term", F.col("weight").alias("q"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import graph as G
 from larkspur.operators import search as S
 from larkspur.plans.registry import query
-from larkspur.plans.tables import MEM, dbl, memories, r6, table
+from larkspur.plans.tables import dbl, memories, r6, table
 
 _GAP = 1_800_000_000
 
@@ -212,5 +212,3 @@ def r23_recall_pipeline(spark, sf_dir):
     more = G.expand(scored, links(spark, sf_dir), linked)
     return scored.withColumn("via", F.lit("scan")).unionByName(more.select("id", "score", "via")).orderBy(F.desc("score"), "id").limit(10)
 
-
-assert MEM

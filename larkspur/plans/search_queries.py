@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
@@ -53,6 +55,13 @@ def r1_bm25(spark, sf_dir):
     return S.bm25(documents(spark, sf_dir), query_texts(spark), 20)
 
 
+@query(f"WITH {bm25_sql()} {topk_sql('bm', 20)}")
+def r1_bm25_index(spark, sf_dir):
+    """The same from postings at rest; building them is part of the query here."""
+    index = S.TextIndex.build(documents(spark, sf_dir), tempfile.mkdtemp(prefix="larkspur-index-"), 16)
+    return index.search(query_texts(spark), 20)
+
+
 @query(f"WITH {bm25_sql('source')} {topk_sql('bm', 20)}")
 def r34_partitioned_bm25(spark, sf_dir):
     return S.bm25(documents(spark, sf_dir), query_texts(spark), 20, partition="source")
@@ -100,7 +109,7 @@ def v15_batched_search(spark, sf_dir):
     return S.knn(vectors(spark, sf_dir), query_vectors(spark, sf_dir, *range(0, 400, 10)), 5, "dot")
 
 
-@query(f"WITH {QUERY_SQL} SELECT qid FROM q WHERE false" if False else f"""WITH {bm25_sql()}, {knn_cte('dot', '0, 1, 2, 3')},
+@query(f"""WITH {bm25_sql()}, {knn_cte('dot', '0, 1, 2, 3')},
  a AS ({topk_sql('bm', 50)}), b AS ({topk_sql('near', 50)}),
  f AS (SELECT qid, id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS score, max(CASE WHEN l = 0 THEN rank END) AS bm25_rank, max(CASE WHEN l = 1 THEN rank END) AS vector_rank
    FROM (SELECT qid, id, rank, 0 AS l FROM a UNION ALL SELECT qid, id, rank, 1 AS l FROM b) GROUP BY qid, id)
@@ -255,8 +264,6 @@ def c9_levenshtein(spark, sf_dir):
     return a.join(F.broadcast(b), F.col("ka") < F.col("kb")).where(d >= 0).select("a", "b", d.alias("distance"))
 
 
-_Z = "(SELECT embedding FROM embeddings WHERE vec_id = 5)"
-
 
 @query(f"WITH z AS (SELECT embedding AS z FROM embeddings WHERE vec_id = 5) SELECT vec_id, {r6(dot_sql('embedding', 'z'))} AS dot, {r6(l2_sql('embedding', 'z'))} AS l2, {r6(f'{dot_sql('embedding', 'z')} / (sqrt({dot_sql('embedding', 'embedding')}) * sqrt({dot_sql('z', 'z')}))')} AS cosine FROM embeddings, z")
 def c10_distances(spark, sf_dir):
