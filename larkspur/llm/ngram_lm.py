@@ -451,8 +451,7 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(keys), int(counts.sum()), once, twice))], ["shard", "n", "total", "once", "twice"])
 
     def reduce_blocks(blocks, finish, schema):
-        ordered = blocks.repartition(shards, "shard")
-        return ordered.groupBy("shard").applyInArrow(_iterated(_merge_shard("block", finish)), schema)
+        return blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(_merge_shard("block", finish)), schema)
 
     stats = "shard int, n long, total long, once long, twice long"
     # one row a shard comes to the driver
@@ -460,7 +459,9 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
     total = sum(r.total for r in sizes.values())
     _join_words(folder, shards, sizes, total)
 
-    for k in range(2, order + 1):
+    if order >= 2:
+        _first_levels(source, folder, shards, min(order, 3))
+    for k in range(4, order + 1):
 
         def count_grams(batches, k=k):
             model = trie(folder, k - 1)
@@ -499,9 +500,7 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
         def write_level(shard, keys, counts, k=k):
             model = trie(folder, k - 1)
-            contexts = int(model.starts[shard + 1] - model.starts[shard]) if k == 2 else model.level(k - 1, shard).keys.n
-            arrays, meta = level_arrays(keys, counts, contexts, model.size)
-            save_arrays(f"{folder}/level{k}-{shard}", arrays, **meta)
+            _write_level(folder, k, shard, keys, counts, model.level(k - 1, shard).keys.n, model.size)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], ["shard", "n"])
 
         blocks = map_arrow(source, count_grams, "shard int, block binary")
@@ -509,12 +508,118 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
         save_arrays(f"{folder}/bounds{k}", {"starts": np.concatenate([[0], np.cumsum([done.get(s, 0) for s in range(shards)])]).astype(np.int64)})
         for shard in set(range(shards)) - set(done):  # ranges without n-grams
             model = Trie(folder, k - 1)
-            contexts = int(model.starts[shard + 1] - model.starts[shard]) if k == 2 else model.level(k - 1, shard).keys.n
-            arrays, meta = level_arrays(np.zeros(0, np.uint64), np.zeros(0, np.int64), contexts, model.size)
-            save_arrays(f"{folder}/level{k}-{shard}", arrays, **meta)
+            _write_level(folder, k, shard, np.zeros(0, np.uint64), np.zeros(0, np.int64), model.level(k - 1, shard).keys.n, model.size)
     return folder, total
 
 
+def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> None:
+    """Levels 2 and, if `most` is 3, level 3 in one read: a 3-gram goes to its first word's shard as a pair
+    of numbers (first two words, last word), and the shard that has merged its 2-grams knows their ranks."""
+
+    def count_grams(batches):
+        model = trie(folder, 1)
+        size = max(1, model.size)
+        held: list[tuple] = []
+        n = 0
+
+        def flush():
+            """Blocks by (shard, level); first words count from the shard's first."""
+            a, b, c, times, level = (np.concatenate(x) for x in zip(*held))
+            pieces = []
+            for k in range(2, most + 1):
+                own = level == k
+                x, y, back = distinct_pairs(a[own], b[own], size)
+                if k == 2:
+                    n_own = np.bincount(back, times[own], len(x)).astype(np.int64)
+                    first, hi, lo = x, y, None
+                else:
+                    place, z, again = distinct_pairs(back, c[own], size)
+                    n_own = np.bincount(again, times[own], len(place)).astype(np.int64)
+                    first, hi, lo = x[place], y[place], z
+                cuts = np.searchsorted(first, model.starts)
+                for shard in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(int(cuts[shard]), int(cuts[shard + 1]))
+                    keys = (first[part] - model.starts[shard]).astype(np.uint64) * np.uint64(size) + hi[part].astype(np.uint64)
+                    pieces.append((shard, k, pack(keys, n_own[part]), b"" if lo is None else lo[part].astype(np.uint32 if size < 2**32 else np.uint64).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.int32()), pa.array([p[2] for p in pieces], pa.binary()), pa.array([p[3] for p in pieces], pa.binary())], ["shard", "level", "block", "last"])
+
+        for batch in batches:
+            for _, data, off in text_chunks(batch):
+                hashes, at = token_hashes(data, off)
+                ids = model.ids(hashes)
+                one = preceding(ids, at, 2)
+                some = np.flatnonzero(one >= 0)
+                x, y, back = distinct_pairs(one[some], ids[some], size)
+                held.append((x, y, np.zeros(len(x), np.int64), np.bincount(back, minlength=len(x)), np.full(len(x), 2, np.int8)))
+                n += len(x)
+                if most >= 3:
+                    pair = np.full(len(ids), -1, np.int64)
+                    pair[some] = back  # place of the 2-gram that ends at each token
+                    pair = preceding(pair, at, 3)
+                    some = np.flatnonzero(pair >= 0)
+                    place, z, back = distinct_pairs(pair[some], ids[some], size)
+                    held.append((x[place], y[place], z, np.bincount(back, minlength=len(place)), np.full(len(place), 3, np.int8)))
+                    n += len(place)
+                if n > MOST_HELD:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    def write_levels(key, batches):
+        shard = key[0].as_py()
+        model = trie(folder, 1)
+        size = max(1, model.size)
+        pairs, triples, n = [], [], 0
+        for batch in batches:
+            for k, blob, last in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("level", "block", "last"))):
+                keys, counts = unpack(blob)
+                if k == 2:
+                    pairs.append((keys, counts))
+                else:
+                    triples.append((keys, np.frombuffer(last, np.uint32 if size < 2**32 else np.uint64).astype(np.uint64), counts))
+                    n += len(keys)
+                    if n > 2 * MOST_HELD:
+                        triples, n = [_merge_triples(triples)], 0
+        keys, counts = merge(*map(list, zip(*pairs))) if pairs else merge([], [])
+        _write_level(folder, 2, shard, keys, counts, int(model.starts[shard + 1] - model.starts[shard]), model.size)
+        sizes = [len(keys), 0]
+        if most >= 3:
+            context, word, times = _merge_triples(triples)
+            ranks = np.searchsorted(keys, context).astype(np.uint64)
+            sizes[1] = len(ranks)
+            _write_level(folder, 3, shard, ranks * np.uint64(size) + word, times, len(keys), model.size)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array(sizes[:1], pa.int64()), pa.array(sizes[1:], pa.int64())], ["shard", "n2", "n3"])
+
+    blocks = map_arrow(source, count_grams, "shard int, level int, block binary, last binary")
+    # one row a shard
+    done = {r.shard: r for r in blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(write_levels), "shard int, n2 long, n3 long").collect()}
+    words = Trie(folder, 1)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for shard in set(range(shards)) - set(done):  # ranges without n-grams
+        _write_level(folder, 2, shard, *none, int(words.starts[shard + 1] - words.starts[shard]), words.size)
+        if most >= 3:
+            _write_level(folder, 3, shard, *none, 0, words.size)
+    for k in range(2, most + 1):
+        sizes = [getattr(done[s], f"n{k}") if s in done else 0 for s in range(shards)]
+        save_arrays(f"{folder}/bounds{k}", {"starts": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)})
+
+
+def _write_level(folder: str, k: int, shard: int, keys: np.ndarray, counts: np.ndarray, contexts: int, words: int) -> None:
+    arrays, meta = level_arrays(keys, counts, contexts, words)
+    save_arrays(f"{folder}/level{k}-{shard}", arrays, **meta)
+
+
+def _merge_triples(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hi, lo, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((lo, hi))
+    hi, lo, n = hi[order], lo[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+    return hi[first], lo[first], np.add.reduceat(n, first)
+
+
 def _iterated(run):
     """applyInArrow takes the iterator form by its annotations."""
 
