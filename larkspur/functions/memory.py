@@ -12,7 +12,8 @@ DAY, WEEK, MONTH, YEAR = 24 * HOUR, 168 * HOUR, 720 * HOUR, 8760 * HOUR
 #: Upper ends of the age buckets; what is older falls into the last one.
 BUCKET_ENDS = (HOUR, 6 * HOUR, DAY, 3 * DAY, WEEK, 4 * WEEK, 3 * MONTH, 6 * MONTH, YEAR, 2 * YEAR, 5 * YEAR)
 LAST_BUCKET = len(BUCKET_ENDS)
-_MID_HOURS = (0.5, 3.5, 15.0, 48.0, 120.0, 420.0, 1440.0, 3240.0, 6480.0, 13140.0, 30660.0, 61320.0)
+#: A middle age of each bucket: hours within the first day, then days.
+_MID_HOURS = (0.5, 3.5, 15.0, *(24 * days for days in (2, 5, 17.5, 60, 135, 270, 547.5, 1277.5, 2555)))
 #: Presets: (exponent, floor).
 DECAY_PRESETS = {"default": (0.15, 0.10), "slow": (0.08, 0.15), "fast": (0.30, 0.05)}
 AROUSAL = (1.0, 1.15, 1.35, 1.65)

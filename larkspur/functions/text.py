@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = "a an and are as at be but by for if in into is it its no not of on or such that the their then there these they this to was will with".split()
+STOP_WORDS = "a be if of an in on no to or as is at it by and the are for was its not but such with will then into this that they there these their".split()
 
 #: Suffix rules in order: (suffix, least length, characters cut, whether a doubled consonant shrinks).
 STEM_RULES = (
@@ -16,12 +16,18 @@ STEM_RULES = (
     ("ly", 5, 2, False), ("ed", 5, 2, True), ("er", 5, 2, True), ("ss", 4, 0, False), ("s", 4, 1, False),
 )
 
+#: Endings that are no part of a name.
+FILE_ENDINGS = r"(?i)\.(?:" + "|".join("css csv doc docx html java js json log md pdf py ts txt xml yaml yml".split()) + ")$"
+
 #: Words that make no tags.
 TAG_STOP_WORDS = set(
-    "the and for are but not you all can had her was one our out has his how its may new now old see way who did get let say she too use "
-    "with that this have from they been said each which their will other about many then them these some would make like into could time very when "
-    "come made after back only just being over also than much down should were what your more there first where those still here through while before between "
-    "under never every because another txt file doc docs test tests src main java class chunk part multipart uploaded textchunk mdchunk index data temp tmp".split()
+    (
+        "doc src had did old and see she the one are use all can who too tmp her for our has was his its get let not but out txt "
+        "you new how now may say way data java said made make like file time come some here were more have each much with back "
+        "will them from than been then when main down also into temp over your docs this that what part test just they only many "
+        "very could would while there where these those being which chunk still under other after never their class tests first "
+        "about index every should before because through mdchunk between another uploaded textchunk multipart "
+    ).split()
 )
 
 
@@ -78,7 +84,7 @@ def _tag_words(text: Column, more_than: int) -> Column:
 
 def content_tags(name: Column, text: Column, most: int = 10, most_content: int = 5) -> Column:
     """Tags from a path, then the longest words of the first 500 characters (earlier ones first among equals)."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"(::chunk-\d+|#chunk-\d+)$", ""), r"(?i)\.(md|txt|java|py|js|ts|json|xml|yaml|yml|html|css|log|csv|pdf|docx?)$", "")
+    bare = F.regexp_replace(F.regexp_replace(name, r"(::chunk-\d+|#chunk-\d+)$", ""), FILE_ENDINGS, "")
     path = F.array_distinct(_tag_words(bare, 2))
     words = F.array_except(_tag_words(F.substring(text, 1, 500), 4), path)
     ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))

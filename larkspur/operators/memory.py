@@ -61,10 +61,11 @@ PROFILES: dict[str, dict] = {
     "HIGHLY_SENSITIVE": _P(alpha=0.7, beta=0.3, gamma=0.3, min_importance=0.01),
     "DEFAULT_MODE_NETWORK": _P(alpha=0.2, beta=0.8, gamma=0.1, tiers=(2, 3)),
 }
+#: First fitting profile wins.
 _KEYWORDS = (
-    ("CRITICAL", ("critical", "urgent", "security", "production", "outage", "data-loss")),
-    ("DEBUGGING", ("error", "bug", "crash", "fail", "exception", "timeout", "broken", "fix")),
-    ("RECALLING", ("solution", "success", "working", "resolved", "pattern", "template", "best-practice")),
+    ("CRITICAL", "data-loss outage production security urgent critical"),
+    ("DEBUGGING", "broken crash timeout exception fail fix bug error"),
+    ("RECALLING", "template pattern best-practice working success solution resolved"),
 )
 
 
@@ -76,7 +77,7 @@ def detect_profile(tags: Column) -> Column:
     """Name of the profile that an array of tags suggests."""
     result = F.lit("BALANCED")
     for name, words in reversed(_KEYWORDS):
-        result = F.when(F.exists(tags, lambda t: F.rlike(F.lower(t), F.lit("|".join(words)))), F.lit(name)).otherwise(result)
+        result = F.when(F.exists(tags, lambda t: F.rlike(F.lower(t), F.lit(words.replace(" ", "|")))), F.lit(name)).otherwise(result)
     return result
 
 

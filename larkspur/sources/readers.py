@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import structured_text
 from larkspur.session import ship_package
 
-BLOCKS = "h[1-6]|p|div|section|article|aside|main|header|footer|nav|blockquote|pre|ol|ul|li|table|tr|hr|br|figure|figcaption|details|summary"
+BLOCKS = "|".join("article aside blockquote br details div figcaption figure footer h[1-6] header hr li main nav ol p pre section summary table tr ul".split())
 ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
 
 
@@ -32,7 +32,7 @@ def html_text(html: Column) -> Column:
 def markdown_text(markdown: Column) -> Column:
     """Plain text of Markdown: marks unwrapped, headings kept, list and quote signs and rules out."""
     t = F.regexp_replace(markdown, r"(?s)```[^\n]*\n(.*?)```", "$1")
-    for pattern in (r"!\[([^\]]*)\]\([^)]+\)", r"\[([^\]]+)\]\([^)]+\)", r"`([^`]+)`", r"\*{1,3}(.+?)\*{1,3}", r"_{1,3}(.+?)_{1,3}", r"~~(.+?)~~"):
+    for pattern in (r"!\[([^\]]*)\]\([^)]+\)", r"\[([^\]]+)\]\([^)]+\)", r"`([^`]+)`", *(f"{sign}{{1,3}}(.+?){sign}{{1,3}}" for sign in (r"\*", "_")), r"~~(.+?)~~"):
         t = F.regexp_replace(t, pattern, "$1")
     t = F.regexp_replace(t, "<[^>]+>", "")
 
