@@ -106,15 +106,15 @@ def features(text: Column, s: Column) -> list[Column]:
     m = s["text"]
     d = digits_of(m)
     before = F.lower(F.substring(text, F.greatest(s["start"] - 24, F.lit(0)) + 1, F.least(s["start"], F.lit(24))))
-    word = "^[\\p{L}\\p{N}]$"
+    word = "^[\\p{N}\\p{L}]$"
     by_kind = lambda make: F.when(s["kind"] == 0, make(0)).when(s["kind"] == 1, make(1)).when(s["kind"] == 2, make(2)).otherwise(make(3))
     columns = (
         s["kind"],
         s["generator"],
         F.length(m),
         F.length(d),
-        F.length(F.regexp_replace(m, "[\\p{L}\\p{N}]", "")),
-        F.size(F.regexp_extract_all(m, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))),
+        F.length(F.regexp_replace(m, "[\\p{N}\\p{L}]", "")),
+        F.size(F.regexp_extract_all(m, F.lit("[\\p{N}\\p{L}]+"), F.lit(0))),
         by_kind(lambda k: valid(KINDS[k], m)),
         F.rlike(F.substring(text, s["start"], F.lit(1)), F.lit(word)) & (s["start"] > 0),
         F.rlike(F.substring(text, s["end"] + 1, F.lit(1)), F.lit(word)),

@@ -17,7 +17,7 @@ PATTERNS = {
 ODD = [
     "a@b.c_x@y.z", "a@b.c.@d.e", ".@d.e", "x a.b@c.d-e.f, q@r", "1.2.3.45 1.2.3.4.5 256.1.1.1 0001.2.3.4 1..2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112",
     "x4111111111111111y 5 5-5", "+1 (988) 555-2485 4539578763621486", "+1 (988) 555-2485", "+12", "+1  2", "00 4539578763621486", "日本 é a@b.cd 4539578763621486 \n+49 30 1234 5678.",
-    "4" * 30, "1" * 5000, "1.2.3.4@a.bc", "+4539578763621486 1.2.3.4", "a@b.c@d.e", None, "", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "jane (at) site (dot) org", "call 988-555-2485 now",
+    "4" * 30, "1" * 5000, "1.2.3.4@a.bc", "+4539578763621486 1.2.3.4", "a@b.c@d.e", None, "", "9 2 7 4 5 1 7 8 6 0 1 2 8 4 5 3", "jane (at) site (dot) org", "call 988-555-2485 now",
 ]
 
 
