@@ -320,3 +320,23 @@ def r32_model_rerank(spark, sf_dir):
     hits = S.bm25(documents(spark, sf_dir), query_texts(spark), 5)
     answers = spark.createDataFrame([(0, "1: 3\n2: 9\n3: 9.5\n4: 0\n5: 7"), (1, "no idea"), (2, "8\n8\n8")], "qid long, answer string")
     return S.rerank_with_model(hits, answers, 5).select("qid", "id", "rating", "before", "rank")
+
+
+@query(f"WITH {bm25_sql()}, h AS ({topk_sql('bm', 10)}) SELECT qid, id, rank, lang, n_chars FROM h JOIN documents ON doc_id = id WHERE lang <> 'fr'")
+def j1_hits_with_documents(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    hits = S.bm25(d, query_texts(spark), 10)
+    return d.where("lang <> 'fr'").select(F.col("doc_id").alias("id"), "lang", "n_chars").join(S.small(hits), "id").select("qid", "id", "rank", "lang", "n_chars")
+
+
+@query(f"WITH {knn_cte('dot')}, a AS ({topk_sql('near', 10)}), b AS ({topk_sql('(SELECT qid, id, score * 1.5::DOUBLE AS score FROM near WHERE id % 2 = 0)', 10)}) SELECT qid, id, {r6('max(score)')} AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, id")
+def u2_union_keeping_best(spark, sf_dir):
+    near = S.similarities(vectors(spark, sf_dir), query_vectors(spark, sf_dir, 0, 7, 42), "dot")
+    top = lambda df: S.top_k(df, 10, F.desc("score"), F.asc("id"))
+    both = top(near).unionByName(top(near.where("id % 2 = 0").withColumn("score", F.col("score") * 1.5)))
+    return both.groupBy("qid", "id").agg(S.rounded(F.max("score")).alias("score"))
+
+
+@query(f"WITH {knn_cte('l2', '7')} SELECT id, score FROM near ORDER BY score, id LIMIT 12")
+def t3_ascending_distances(spark, sf_dir):
+    return S.similarities(vectors(spark, sf_dir), query_vectors(spark, sf_dir, 7), "l2").orderBy("score", "id").limit(12).select("id", "score")

@@ -160,14 +160,15 @@ def s22_integrity(spark, sf_dir):
 # --- chunkers and identifiers ----------------------------------------------------------------------------
 
 
-def _chunker(name: str, cut):
+def _chunker(name: str, cut, separator: str = "::chunk-"):
     @query(name=name)
     def run(spark, sf_dir):
-        return C.chunk(documents(spark, sf_dir), cut).select("doc_id", "chunk_id", "start_char", "end_char", "tokens")
+        return C.chunk(documents(spark, sf_dir), cut, separator).select("doc_id", "chunk_id", "start_char", "end_char", "tokens")
 
 
 _chunker("c4_char_chunks", C.char_chunks)
 _chunker("c5_token_chunks", C.token_chunks)
+_chunker("c5_token_chunks_by_suffix", lambda t: C.token_chunks(t, 64, 8), "#chunk-")
 _chunker("c6_streaming_chunks", C.streaming_chunks)
 
 
