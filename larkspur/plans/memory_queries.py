@@ -140,7 +140,7 @@ _HAB = f"({dbl(1)} / ({dbl(1)} + (greatest(recalls, 1) - 1) * {dbl(0.2)}))"
 _INH = f"(CASE WHEN age < 300000 THEN {dbl(0.1)} + {dbl(0.9)} * age / 300000 ELSE {dbl(1)} END)"
 
 
-@query(f"WITH {MEM}, h AS (SELECT id, importance AS score, recalls, (id * 7919) % 600000 AS age, id % 10 = 0 AS recent FROM mem), p AS (SELECT id, score, least({_HAB}, {_INH}) * CASE WHEN recent THEN {dbl(0.5)} ELSE {dbl(1)} END AS p FROM h) SELECT id, {r6('p')} AS penalty, {r6('score * p')} AS penalized FROM p")
+@query(f"WITH {MEM}, h AS (SELECT id, importance AS score, recalls, (id * 7919) % 600000 AS age, id % 10 = 0 AS recent FROM mem), p AS (SELECT id, score, least({_HAB}, {_INH}) * CASE WHEN recent THEN {dbl(0.5)} ELSE {dbl(1)} END AS p FROM h) SELECT id, round(p, 9) AS penalty, round(score * p, 9) AS penalized FROM p")
 def r18_penalties(spark, sf_dir):
     hits = memories(spark, sf_dir).select("id", F.col("importance").alias("score"), F.col("recalls").alias("times"), (F.lit(NOW) - (F.col("id") * 7919) % 600000).alias("last_ms"), (F.col("id") % 10 == 0).alias("recent"))
     return R.penalties(hits, NOW).select("id", "penalty", "penalized")
@@ -372,9 +372,9 @@ def g13_compact(spark, sf_dir):
     return L.compact(memories(spark, sf_dir), 0.02).select("id", "tier")
 
 
-@query(f"WITH {MEM}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rn FROM mem WHERE tier = 1 AND NOT tombstoned), p AS (SELECT CASE WHEN a.ts_ms < b.ts_ms OR (a.ts_ms = b.ts_ms AND a.id < b.id) THEN a.id ELSE b.id END AS id FROM c a JOIN c b ON a.user_id = b.user_id AND a.rn < b.rn WHERE a.rn <= 20 AND b.rn <= 20 AND {l2_sql('a.embedding', 'b.embedding')} <= 1.3) SELECT mem.id, {r6('importance * pow(0.7::DOUBLE, coalesce(n, 0))')} AS importance FROM mem LEFT JOIN (SELECT id, count(*) AS n FROM p GROUP BY id) USING (id)")
+@query(f"WITH {MEM}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rn FROM mem WHERE tier = 1 AND NOT tombstoned), p AS (SELECT CASE WHEN a.ts_ms < b.ts_ms OR (a.ts_ms = b.ts_ms AND a.id < b.id) THEN a.id ELSE b.id END AS id FROM c a JOIN c b ON a.user_id = b.user_id AND a.rn < b.rn WHERE a.rn <= 20 AND b.rn <= 20 AND {l2_sql('a.embedding', 'b.embedding')} <= 1.3) SELECT mem.id, round(importance * pow(0.7::DOUBLE, coalesce(n, 0)), 9) AS importance FROM mem LEFT JOIN (SELECT id, count(*) AS n FROM p GROUP BY id) USING (id)")
 def g14_interference(spark, sf_dir):
-    return L.interference(memories(spark, sf_dir), "user_id", 1.3).select("id", S.rounded(F.col("importance")).alias("importance"))
+    return L.interference(memories(spark, sf_dir), "user_id", 1.3).select("id", F.round("importance", 9).alias("importance"))
 
 
 @query(f"WITH {MEM} SELECT centroid, count(*) AS n, bit_and(mask) AS mask, arg_max(id, (importance, -id)) AS best, {r6('max(importance)')} AS importance FROM mem WHERE tier = 1 AND NOT tombstoned GROUP BY centroid HAVING count(*) >= 5")
