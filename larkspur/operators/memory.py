@@ -179,8 +179,8 @@ def penalties(hits: DataFrame, now_ms: int) -> DataFrame:
     """Hits (id, score, times, last_ms, recent) with habituation, inhibition of return and satiation."""
     least = F.least(M.habituation(F.greatest(F.col("times"), F.lit(1))), M.inhibition(F.lit(now_ms) - F.col("last_ms")))
     penalty = F.when(F.col("recent"), least * 0.5).otherwise(least)
-    # nine digits: products of short decimals would lie on the border of six
-    return hits.withColumn("penalty", F.round(penalty, 9)).withColumn("penalized", F.round(F.col("score") * penalty, 9))
+    # twelve digits: products of short decimals would lie on the border of six
+    return hits.withColumn("penalty", F.round(penalty, 12)).withColumn("penalized", F.round(F.col("score") * penalty, 12))
 
 
 def confidence_band(hits: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ _HAB = f"({dbl(1)} / ({dbl(1)} + (greatest(recalls, 1) - 1) * {dbl(0.2)}))"
 _INH = f"(CASE WHEN age < 300000 THEN {dbl(0.1)} + {dbl(0.9)} * age / 300000 ELSE {dbl(1)} END)"
 
 
-@query(f"WITH {MEM}, h AS (SELECT id, importance AS score, recalls, (id * 7919) % 600000 AS age, id % 10 = 0 AS recent FROM mem), p AS (SELECT id, score, least({_HAB}, {_INH}) * CASE WHEN recent THEN {dbl(0.5)} ELSE {dbl(1)} END AS p FROM h) SELECT id, round(p, 9) AS penalty, round(score * p, 9) AS penalized FROM p")
+@query(f"WITH {MEM}, h AS (SELECT id, importance AS score, recalls, (id * 7919) % 600000 AS age, id % 10 = 0 AS recent FROM mem), p AS (SELECT id, score, least({_HAB}, {_INH}) * CASE WHEN recent THEN {dbl(0.5)} ELSE {dbl(1)} END AS p FROM h) SELECT id, round(p, 12) AS penalty, round(score * p, 12) AS penalized FROM p")
 def r18_penalties(spark, sf_dir):
     hits = memories(spark, sf_dir).select("id", F.col("importance").alias("score"), F.col("recalls").alias("times"), (F.lit(NOW) - (F.col("id") * 7919) % 600000).alias("last_ms"), (F.col("id") % 10 == 0).alias("recent"))
     return R.penalties(hits, NOW).select("id", "penalty", "penalized")
