@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.session import ship_package
 
@@ -73,6 +74,40 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def shard_slots(spark: SparkSession, shards: int) -> list[int]:
+    """A number for each shard such that Spark's hash partitioning gives every shard a partition of its own.
+
+    Hashing the shards' own numbers would put several into one task and none into others.
+    """
+    cache = worker_cache().setdefault("slots", {})
+    if shards not in cache:
+        found: dict[int, int] = {}
+        first, step = 0, max(1024, 20 * shards)
+        while len(found) < shards:
+            n = F.col("id").cast("int")
+            place = F.pmod(F.hash(n), F.lit(shards))
+            # one row a shard
+            for r in spark.range(first, first + step).groupBy(place.alias("p")).agg(F.min("id").alias("k")).collect():
+                found.setdefault(r.p, r.k)
+            first += step
+        cache[shards] = [found[i] for i in range(shards)]
+    return cache[shards]
+
+
+def by_shard(df: DataFrame, shards: int, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply run(shard, batches) to the rows of each shard (column shard), one shard a task."""
+    slots = shard_slots(df.sparkSession, shards)
+    shard_of = {k: i for i, k in enumerate(slots)}
+
+    def grouped(key, batches):
+        yield from run(shard_of[key[0].as_py()], batches)
+
+    # applyInArrow takes the iterator form by its annotations
+    grouped.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    slotted = df.withColumn("larkspur_slot", F.element_at(F.lit(slots).cast("array<int>"), F.col("shard") + 1))
+    return slotted.repartition(shards, "larkspur_slot").groupBy("larkspur_slot").applyInArrow(grouped, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; null counts as empty."""
     if column.null_count:

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_arrow, shared_dir, text_chunks, worker_cache
-from larkspur.llm.ngram_lm import _iterated, map_arrays, pack, save_arrays, shard_of, unpack
+from larkspur.llm.common import by_shard, map_arrow, shared_dir, text_chunks, worker_cache
+from larkspur.llm.ngram_lm import map_arrays, pack, save_arrays, shard_of, unpack
 
 LENGTH = 200
 ANCHOR = 32
@@ -428,8 +428,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
     folder = shared_dir(spark, "suffix-dedup")
     source = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def write_known(key, batches):
-        shard = key[0].as_py()
+    def write_known(shard, batches):
         h, c, n = _merged(batches)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(first, len(h)))
@@ -441,7 +440,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
 
     blocks = _count(source, shards, lambda data, off: anchors(data, off)[:2])
     # one row a shard
-    counted = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(write_known), "shard int, texts long, hot long").collect()
+    counted = by_shard(blocks, shards, write_known, "shard int, texts long, hot long").collect()
     hot = any(r.hot for r in counted)
 
     def send_contexts(batches):
@@ -462,8 +461,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
                     cols = list(zip(*rows[j : j + 4096]))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["shard", "index", "place", "windows", "context"])
 
-    def sort_contexts(key, batches):
-        shard = key[0].as_py()
+    def sort_contexts(shard, batches):
         own = known(folder, "known").shard(shard)
         rows: dict[int, tuple] = {}
         for batch in batches:
@@ -495,7 +493,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(packed)])], ["shard", "n"])
 
     sent = map_arrow(source, send_contexts, "shard int, index long, place int, windows int, context binary")
-    sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(sort_contexts), "shard int, n long").collect()
+    by_shard(sent, shards, sort_contexts, "shard int, n long").collect()
 
     if hot:
 
@@ -509,13 +507,12 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
                     found.append(window_hashes(data[lo[i] : lo[i] + windows[i] + LENGTH - 1]))
             return tuple(np.concatenate(x) for x in zip(*found))
 
-        def write_hot(key, batches):
-            shard = key[0].as_py()
+        def write_hot(shard, batches):
             h, c, n = _merged(batches)
             save_arrays(f"{folder}/hot-{shard}", {"h": h[n >= 2], "c": c[n >= 2]})
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
 
-        _count(source, shards, hot_windows).repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(write_hot), "shard int").collect()
+        by_shard(_count(source, shards, hot_windows), shards, write_hot, "shard int").collect()
     return folder, shards, hot
 
 
