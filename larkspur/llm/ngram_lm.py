@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_arrow, shared_dir, text_chunks, worker_cache, write_shared
+from larkspur.llm.common import by_shard, map_arrow, shared_dir, text_chunks, worker_cache, write_shared
 
 ORDER = 3
 END = b"\n"  # no word holds it
@@ -215,12 +215,6 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes and table of 256 representatives: quantiles of the logarithms; few distinct values stay exact."""
     own = np.unique(values)
@@ -236,22 +230,45 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- tokens ------------------------------------------------------------------------------------------
 
 
-class Hashes(dict):
+class Vocabulary(dict):
+    """word -> number in order of first sight, with the words' hashes; emptied between chunks when it is large."""
+
+    def __init__(self) -> None:
+        self.generation = 0
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.generation += 1
+        self.new: list[int] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.end = self[b"E"]  # texts have no capital letters when they are looked up
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = int(END_HASH) if word == b"E" else xxhash.xxh3_64_intdigest(word)
-        return value
+        number = self[word] = len(self)
+        self.new.append(int(END_HASH) if word == b"E" else xxhash.xxh3_64_intdigest(word))
+        return number
+
+    def settle(self) -> None:
+        if self.new:
+            self.hashes = np.concatenate([self.hashes, np.array(self.new, np.uint64)])
+            self.new = []
 
 
-def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, offsets of the texts); every text ends with the end token."""
-    known = worker_cache().setdefault("lm_hashes", Hashes())
+def token_numbers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, Vocabulary]:
+    """(number of each token, offsets of the texts, vocabulary); every text ends with the end token."""
+    cache = worker_cache()
+    words = cache.get("lm_vocabulary")
+    if words is None or len(words) > REMEMBERED:
+        words = cache["lm_vocabulary"] = words or Vocabulary()
+        if len(words) > REMEMBERED:
+            words.clear()
     raw, o = data.tobytes().lower(), off.tolist()
-    # the texts have no capital letters any more, so that one can mark their ends in a single split
-    words = b" E ".join([raw[a:b] for a, b in zip(o, o[1:])] + [b""]).split()
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    return hashes, np.concatenate([[0], np.flatnonzero(hashes == END_HASH) + 1])
+    # a capital letter marks the texts' ends in a single split
+    tokens = b" E ".join([raw[a:b] for a, b in zip(o, o[1:])] + [b""]).split()
+    numbers = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+    words.settle()
+    return numbers, np.concatenate([[0], np.flatnonzero(numbers == words.end) + 1]), words
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -282,21 +299,28 @@ class Trie:
         a, meta = map_arrays(f"{folder}/words")
         self.hashes, self.counts, self.starts = a["hashes"], a["counts"], a["starts"]
         self.total, self.size, self.shards, self.discount = meta["total"], len(self.hashes), meta["shards"], meta["discount"]
-        self.levels: dict[tuple[int, int], Level] = {}
+        self.levels: dict[tuple, Level | np.ndarray] = {}
+        self.generation, self.known_ids = -1, np.zeros(0, np.int64)
 
     def level(self, k: int, shard: int) -> Level:
         if (k, shard) not in self.levels:
             self.levels[k, shard] = Level(f"{self.folder}/level{k}-{shard}")
         return self.levels[k, shard]
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Word ids, -1 for unknown words."""
-        if not self.size:
-            return np.full(len(hashes), -1, np.int64)
-        own, back = np.unique(hashes, return_inverse=True)
-        at = np.searchsorted(self.hashes, own)
-        at[at == self.size] = 0
-        return np.where(self.hashes[at] == own, at, -1)[back]
+    def ids(self, numbers: np.ndarray, words: Vocabulary) -> np.ndarray:
+        """Word ids, -1 for unknown words; each word of the vocabulary is searched once."""
+        if self.generation != words.generation:
+            self.generation, self.known_ids = words.generation, np.zeros(0, np.int64)
+        fresh = words.hashes[len(self.known_ids) :]
+        if len(fresh):
+            order = np.argsort(fresh)
+            at = np.searchsorted(self.hashes, fresh[order])
+            at[at == self.size] = 0
+            found = np.full(len(fresh), -1, np.int64)
+            if self.size:
+                found[order] = np.where(self.hashes[at] == fresh[order], at, -1)
+            self.known_ids = np.concatenate([self.known_ids, found])
+        return self.known_ids[numbers]
 
     def bounds(self, k: int) -> np.ndarray:
         """First global rank of each shard at level k."""
@@ -401,7 +425,7 @@ def _rows(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def _merge_shard(column: str, finish):
     """A function for applyInArrow's iterator form: merges a shard's blocks batch by batch."""
 
-    def run(key, batches):
+    def run(shard, batches):
         keys, counts, held = [], [], 0
         for batch in batches:
             for blob in batch.column(batch.schema.get_field_index(column)).to_pylist():
@@ -412,7 +436,7 @@ def _merge_shard(column: str, finish):
                 if held > 2 * MOST_HELD:  # merged now and then, so that repeats don't pile up
                     k, c = merge(keys, counts)
                     keys, counts, held = [k], [c], 0
-        yield finish(key[0].as_py(), *merge(keys, counts))
+        yield finish(shard, *merge(keys, counts))
 
     return run
 
@@ -433,10 +457,12 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
         for batch in batches:
             for _, data, off in text_chunks(batch):
-                k, c = distinct(token_hashes(data, off)[0])
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
+                numbers, _, words = token_numbers(data, off)
+                times = np.bincount(numbers, minlength=len(words))
+                seen = np.flatnonzero(times)
+                keys.append(words.hashes[seen])
+                counts.append(times[seen])
+                held += len(seen)
                 if held > MOST_HELD:
                     k, c = merge(keys, counts)
                     keys[:], counts[:], held = [k], [c], len(k)
@@ -451,7 +477,7 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(keys), int(counts.sum()), once, twice))], ["shard", "n", "total", "once", "twice"])
 
     def reduce_blocks(blocks, finish, schema):
-        return blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(_merge_shard("block", finish)), schema)
+        return by_shard(blocks, shards, _merge_shard("block", finish), schema)
 
     stats = "shard int, n long, total long, once long, twice long"
     # one row a shard comes to the driver
@@ -482,8 +508,8 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
             for batch in batches:
                 for _, data, off in text_chunks(batch):
-                    hashes, at = token_hashes(data, off)
-                    ids = model.ids(hashes)
+                    numbers, at, words = token_numbers(data, off)
+                    ids = model.ids(numbers, words)
                     rank = ids
                     for j in range(2, k):
                         rank = model.lookup(j, preceding(rank, at, j), ids, False)[0]
@@ -545,8 +571,8 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
 
         for batch in batches:
             for _, data, off in text_chunks(batch):
-                hashes, at = token_hashes(data, off)
-                ids = model.ids(hashes)
+                numbers, at, words = token_numbers(data, off)
+                ids = model.ids(numbers, words)
                 one = preceding(ids, at, 2)
                 some = np.flatnonzero(one >= 0)
                 x, y, back = distinct_pairs(one[some], ids[some], size)
@@ -566,8 +592,7 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
         if held:
             yield flush()
 
-    def write_levels(key, batches):
-        shard = key[0].as_py()
+    def write_levels(shard, batches):
         model = trie(folder, 1)
         size = max(1, model.size)
         pairs, triples, n = [], [], 0
@@ -593,7 +618,7 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
 
     blocks = map_arrow(source, count_grams, "shard int, level int, block binary, last binary")
     # one row a shard
-    done = {r.shard: r for r in blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_iterated(write_levels), "shard int, n2 long, n3 long").collect()}
+    done = {r.shard: r for r in by_shard(blocks, shards, write_levels, "shard int, n2 long, n3 long").collect()}
     words = Trie(folder, 1)
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for shard in set(range(shards)) - set(done):  # ranges without n-grams
@@ -620,16 +645,6 @@ def _merge_triples(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return hi[first], lo[first], np.add.reduceat(n, first)
 
 
-def _iterated(run):
-    """applyInArrow takes the iterator form by its annotations."""
-
-    def grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(key, batches)
-
-    grouped.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return grouped
-
-
 def _join_words(folder: str, shards: int, sizes: dict, total: int) -> None:
     """One file of level 1 from the shards' files, copied piece by piece."""
     starts = np.concatenate([[0], np.cumsum([sizes[s].n if s in sizes else 0 for s in range(shards)])]).astype(np.int64)
@@ -683,8 +698,8 @@ def score(df: DataFrame, model: tuple[str, int], order: int = ORDER, id_col: str
         own = trie(folder, order)
         for batch in batches:
             for part, data, off in text_chunks(batch):
-                hashes, at = token_hashes(data, off)
-                ids = own.ids(hashes)
+                numbers, at, words = token_numbers(data, off)
+                ids = own.ids(numbers, words)
                 known = ids >= 0
                 counts = np.zeros(len(ids))
                 counts[known] = own.counts[ids[known]]
