@@ -69,13 +69,16 @@ def bm25(
     terms = docs.select(F.col(id_col).alias("id"), part.alias("part"), analyzer(F.col(text_col)).alias("terms"))
     stats = terms.groupBy("part").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("average"))
     wanted = queries.select("qid", F.explode(analyzer(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    words = small(wanted.select("term").distinct())
+    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # one count serves both joins
+    asked = F.broadcast(wanted) if few else wanted
+    words = wanted.select("term").distinct()
+    words = F.broadcast(words) if few else words
     found = terms.select("id", "part", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(words, "term", "left_semi")
     tf = found.groupBy("part", "id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("part", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scored = tf.join(F.broadcast(df) if partition is None else df, ["part", "term"]).join(F.broadcast(stats), "part").join(small(wanted), "term")
+    scored = tf.join(F.broadcast(df) if partition is None else df, ["part", "term"]).join(F.broadcast(stats), "part").join(asked, "term")
     total = scored.groupBy("qid", "id").agg(rounded(F.sum(weight * F.col("times"))).alias("score")).where(F.col("score") > 0)
     return top_k(total, k, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
 
