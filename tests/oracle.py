@@ -21,14 +21,15 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
         return "NULL"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
     if isinstance(v, (int, np.integer)):
         return str(int(v))
     if isinstance(v, (float, np.floating)):
-        return repr(float(v))
+        # a column of integers with nulls may come as floats from either side
+        return str(int(v)) if float(v).is_integer() else repr(float(v))
     if isinstance(v, (list, np.ndarray)):
         return str([shown(x) for x in v])
     return str(v)
