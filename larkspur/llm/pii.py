@@ -41,6 +41,8 @@ PATTERNS = (
     ("phone", r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", ""),
     ("phone", r"(?<![0-9])00[1-9][0-9]{0,2}[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])", "00"),
 )
+#: What every match of a generator without such a text holds.
+DIGITS = {2: "[0-9][ -]?[0-9]", 6: "[0-9]{3}", 8: "[0-9]{3}"}
 BASES = 4
 GOOD = (r"mail|e-mail|contact|write|reach", r"\bip\b|host|server|address|login|from", r"card|visa|master|credit|pay|pan\b", r"phone|tel|call|mobile|fax|cell|reach|contact")
 BAD = r"version|\bv$|isbn|order|invoice|section|chapter|figure|serial|tracking|build|release|sku|part no|date|issn|\bid\b"
@@ -94,7 +96,7 @@ def matches(text: Column, generator: int) -> Column:
 
     pairs = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(F.element_at(gaps, i).alias("gap"), F.element_at(found, i).alias("found")))
     spans = F.aggregate(pairs, zero, add)["out"]
-    possible = F.contains(text, F.lit(needed)) if needed else F.rlike(text, F.lit("[0-9]{3}"))
+    possible = F.contains(text, F.lit(needed)) if needed else F.rlike(text, F.lit(DIGITS[generator]))
     return F.when(possible, F.when(F.size(found) > 0, spans).otherwise(empty)).otherwise(empty)
 
 

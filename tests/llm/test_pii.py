@@ -53,6 +53,16 @@ def test_base_spans_and_order(spark, tmp_path):
         assert key == sorted(key)
 
 
+def test_cards_in_pairs_and_single_digits(spark, tmp_path):
+    """No three digits stand together in these texts."""
+    cards = ["41 11 11 11 11 11 11 11", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "x 4-1 1-1 1-1 1-1 1-1 1-1 1-1 1-1 y", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2"]
+    rows = list(enumerate(cards))
+    out = {r.doc_id: r for r in pii.op3_pii(spark, fixtures.tables(tmp_path, spark, rows)).collect()}
+    assert [out[i].n_card for i, _ in rows] == [1, 1, 1, 0]
+    for i, t in rows:
+        assert out[i].base_sha256 == hashlib.sha256(",".join(brute(t)).encode()).hexdigest(), t
+
+
 def test_method_adds_spans(spark):
     df = spark.createDataFrame([(1, "jane (at) site (dot) org"), (2, "call 988-555-2485 now"), (3, "+1 (988) 555-2485 4539578763621486"), (4, "version 1.2.3 of 12-04-2021")], "doc_id long, text string")
     got = {r.doc_id: [(pii.KINDS[s.kind], s.base) for s in r.larkspur_spans] for r in pii.find_pii(df, pii.built_in_model(spark)).collect()}
