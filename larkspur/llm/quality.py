@@ -4,7 +4,8 @@ Features are indicators of hashed n-grams. Each word has a form (letter case, di
 after, whether it repeats the word before it); n-grams of one to three forms and of one to two lower-cased
 words are indicators. Each indicator is scaled by its class log-count ratio, and a linear hinge-loss
 (L2-regularised, class-weighted) model is fitted by dual coordinate descent. Scaled rows have length 1.
-Scores are probabilities by a logistic curve fitted to margins of rows that the fit left out.
+Scores are probabilities by a logistic curve fitted to margins of rows that the fit left out, each weighted
+by its class's share of all taught labels over its share of the fitted rows.
 
 The fit uses at most MOST_ROWS labelled rows (those with the smallest hashes of doc_id, half of the room
 for each class); scoring covers all rows and whole texts. Labels that are null don't teach. Null or empty
@@ -136,14 +137,14 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
     return w, bias
 
 
-def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(1) over margins, by Newton steps with a small ridge."""
+def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and offset of P(1) over margins of weighted rows, by Newton steps with a small ridge."""
     a, b, t = 1.0, 0.0, (y > 0).astype(float)
     x = np.stack([margin, np.ones_like(margin)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = x @ (p - t) + 1e-2 * np.array([a, b])
-        h = (x * (p * (1 - p))) @ x.T + 1e-2 * np.eye(2)
+        g = x @ (weight * (p - t)) + 1e-2 * np.array([a, b])
+        h = (x * (weight * p * (1 - p))) @ x.T + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
@@ -151,8 +152,8 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, cost: float = 1.0) -> Model:
-    """docs: the indicators of each labelled row; y: +1 or -1."""
+def fit(docs: list[np.ndarray], y: np.ndarray, cost: float = 1.0, natural: float | None = None) -> Model:
+    """docs: the indicators of each labelled row; y: +1 or -1; natural: share of +1 among all labels, if rows are a sample."""
     nothing = np.zeros(1 << BITS, np.float32)
     if not len(y) or (y > 0).all() or (y < 0).all():
         return Model(nothing, nothing, 0.0, 1.0, 0.0, float((y > 0).mean()) if len(y) else 0.5)
@@ -175,9 +176,13 @@ def fit(docs: list[np.ndarray], y: np.ndarray, cost: float = 1.0) -> Model:
         _, w, bias, rows = train(~fold)
         left_out = np.array([w[at] @ v + bias for at, v in (rows[i] for i in np.flatnonzero(fold))])
     ratio, w, bias, rows = train(np.ones(len(y), bool))
-    slope, offset = logistic(left_out, y[fold]) if len(left_out) else (2.0, 0.0)
+    sampled = float((y > 0).mean())
+    natural = sampled if natural is None else natural
+    weight = np.where(y > 0, natural / sampled, (1 - natural) / (1 - sampled))
+    plain = 2.0, float(np.log(natural / sampled) - np.log((1 - natural) / (1 - sampled)))
+    slope, offset = logistic(left_out, y[fold], weight[fold]) if len(left_out) else plain
     if slope <= 0:
-        slope, offset = 2.0, 0.0
+        slope, offset = plain
     return Model((ratio * w).astype(np.float32), (ratio * ratio).astype(np.float32), bias, slope, offset)
 
 
@@ -185,6 +190,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     """Fit on a bounded sample of rows (doc_id, text) joined with labels (doc_id, quality)."""
     spark = docs.sparkSession
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # labels teach where a document has them; the share of each class among all such rows
+    number = {r.quality: r["count"] for r in docs.select(F.col("doc_id")).join(chosen, "doc_id").groupBy("quality").count().collect()}
+    natural = number.get(1, 0) / max(1, sum(number.values()))
     rank = F.xxhash64("doc_id")
     # two bounded reads of ids and labels, no texts
     picked = [r for q in (0, 1) for r in chosen.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(most_rows // 2).collect()]
@@ -204,7 +212,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) if len(lists) else np.zeros(1, np.int64)
     y = np.where(rows["quality"].to_numpy() > 0, 1, -1)
     order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in rows["doc_id"].to_pylist()], kind="stable") if len(y) else np.zeros(0, np.int64)
-    return fit([values[offsets[i] : offsets[i + 1]] for i in order], y[order])
+    return fit([values[offsets[i] : offsets[i + 1]] for i in order], y[order], natural=natural)
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -37,6 +37,21 @@ def test_held_out_accuracy(spark, tmp_path):
         assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_scores_mean_the_same_below_and_above_the_bound(spark):
+    """With a bound below the class sizes the fit sees equal classes; the share of label 1 stays the natural one."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(1500):  # classes that no text tells apart for sure
+        good = r.random() < 0.86
+        rows.append((i, "up" if good == (r.random() < 0.85) else "down"))
+        labels.append((i, int(good)))
+    docs, marks = fixtures.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    share = sum(y for _, y in labels) / len(labels)
+    for most in (6000, 400):
+        scores = [x.larkspur_score for x in q.score_quality(docs, q.fit_quality(docs, marks, most)).collect()]
+        assert abs(sum(scores) / len(scores) - share) < 0.08, (most, sum(scores) / len(scores))
+
+
 def test_held_out_labels_teach_nothing(spark, tmp_path):
     rows, labels = corpus(200)
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y, t) for i, y, t in labels]
