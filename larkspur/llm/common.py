@@ -94,8 +94,11 @@ def shard_slots(spark: SparkSession, shards: int) -> list[int]:
     return cache[shards]
 
 
-def by_shard(df: DataFrame, shards: int, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply run(shard, batches) to the rows of each shard (column shard), one shard a task."""
+def by_shard(df: DataFrame, shards: int, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, order: str | None = None) -> DataFrame:
+    """Apply run(shard, batches) to the rows of each shard (column shard), one shard a task.
+
+    With `order` a shard's rows come sorted by that column; Spark sorts and spills them.
+    """
     slots = shard_slots(df.sparkSession, shards)
     shard_of = {k: i for i, k in enumerate(slots)}
 
@@ -105,7 +108,10 @@ def by_shard(df: DataFrame, shards: int, run: Callable[[int, Iterator[pa.RecordB
     # applyInArrow takes the iterator form by its annotations
     grouped.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     slotted = df.withColumn("larkspur_slot", F.element_at(F.lit(slots).cast("array<int>"), F.col("shard") + 1))
-    return slotted.repartition(shards, "larkspur_slot").groupBy("larkspur_slot").applyInArrow(grouped, schema)
+    dealt = slotted.repartition(shards, "larkspur_slot")
+    if order:
+        dealt = dealt.sortWithinPartitions("larkspur_slot", order)
+    return dealt.groupBy("larkspur_slot").applyInArrow(grouped, schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

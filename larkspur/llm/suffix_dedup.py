@@ -9,10 +9,10 @@ string with the smallest hash; equal windows have equal anchors at equal places.
 occurrence are a context (some 300 bytes). Three reads of the texts:
 
 1. Contexts are counted by (hash of the anchor, hash of the context), in sorted blocks. An anchor that
-   occurs once has no repeat. Contexts that are all of their anchor and occur more than once are repeated
-   as a whole. The others go on.
-2. Their texts, each distinct one once with its multiplicity, meet by anchor. All of a batch of anchors
-   become one string of 8-byte letters aligned to the anchors; its suffix array brings suffixes with 24
+   occurs once has no repeat. The others go on.
+2. Their texts, each distinct one once with its multiplicity, meet by anchor: shards are dealt by a second
+   mix of the anchor's hash, and a shard's contexts come sorted by anchor, so that one batch of anchors is
+   held at a time. All of a batch become one string of 8-byte letters aligned to the anchors; its suffix array brings suffixes with 24
    equal letters together; the 0 to 7 bytes before and the 8 to 1 bytes after are compared exactly.
 3. Windows found repeated are marked, and what they cover is cut out.
 
@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import by_shard, map_arrow, shared_dir, text_chunks, worker_cache
-from larkspur.llm.ngram_lm import map_arrays, pack, save_arrays, shard_of, unpack
+from larkspur.llm.ngram_lm import map_arrays, pack, save_arrays, unpack
+from larkspur.llm.ngram_lm import shard_of as range_of
 
 LENGTH = 200
 ANCHOR = 32
@@ -169,11 +170,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def _tables():
     cache = worker_cache()
-    if "suffix_tables" not in cache:
+    key = ("suffix_tables", SEGMENT)
+    if key not in cache:
         room = SEGMENT + LENGTH + 1
         letters = np.random.default_rng(20).integers(1, 2**63, 256).astype(np.uint64)
-        cache["suffix_tables"] = letters, _powers(_MULT, room), _powers(_INVERSE, room)
-    return cache["suffix_tables"]
+        cache[key] = letters, _powers(_MULT, room), _powers(_INVERSE, room)
+    return cache[key]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -181,6 +183,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a key. Anchors have the smallest of many hashes, so the shard is taken from a second mix."""
+    return range_of(_mix(_mix(h ^ _U(0xD6E8FEB86659FD93))), shards)
+
+
 def _smallest(a: np.ndarray, width: int) -> np.ndarray:
     k, m = 1, a
     while k * 2 <= width:
@@ -282,13 +289,13 @@ class Known:
         if s not in self.maps:
             try:
                 self.maps[s] = map_arrays(f"{self.folder}/{self.name}-{s}")[0]
-            except FileNotFoundError:  # a range of hashes without rows
+            except FileNotFoundError:  # a shard without rows
                 self.maps[s] = None
         return self.maps[s]
 
     def find(self, h: np.ndarray, c: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         shard, index = shard_of(h, shards), np.full(len(h), -1, np.int64)
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((h, shard))
         for group in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
             own = self.shard(int(shard[group[0]]))
             if own is not None:
@@ -313,6 +320,8 @@ def _count(source: DataFrame, shards: int, make) -> DataFrame:
         def flush():
             h, c, times = merge_pairs(*(np.concatenate(x) for x in zip(*held)))
             where = shard_of(h, shards)
+            order = np.argsort(where, kind="stable")  # by (shard, h, c)
+            where, h, c, times = where[order], h[order], c[order], times[order]
             cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(h)]
             pieces = [(int(where[a]), pack_pairs(h[a:b], c[a:b], times[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.binary())], ["shard", "block"])
@@ -418,7 +427,7 @@ def repeated_windows(contexts: list[tuple[int, bytes, int, int]]) -> list[np.nda
     return masks
 
 
-DUP, TEXT, HOT_FLAG = 1, 2, 3
+TEXT, HOT_FLAG = 1, 2
 
 
 def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
@@ -434,7 +443,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
         sizes = np.diff(np.append(first, len(h)))
         total, several = np.repeat(np.add.reduceat(n, first), sizes), np.repeat(sizes, sizes)
         keep = total >= 2
-        flag = np.where(several == 1, DUP, np.where(several > HOT, HOT_FLAG, TEXT)).astype(np.uint8)
+        flag = np.where(several > HOT, HOT_FLAG, TEXT).astype(np.uint8)
         save_arrays(f"{folder}/known-{shard}", {"h": h[keep], "c": c[keep], "flag": flag[keep], "weight": np.minimum(n[keep], 2).astype(np.uint8)})
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int((flag[keep] == TEXT).sum())]), pa.array([int((flag[keep] == HOT_FLAG).sum())])], ["shard", "texts", "hot"])
 
@@ -462,38 +471,36 @@ def repeats(df: DataFrame, text_col: str = "text") -> tuple[str, int, bool]:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["shard", "index", "place", "windows", "context"])
 
     def sort_contexts(shard, batches):
+        """Rows come by index, so by anchor: only the contexts of one suffix array are held."""
         own = known(folder, "known").shard(shard)
-        rows: dict[int, tuple] = {}
-        for batch in batches:
-            for k, place, windows, text in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("index", "place", "windows", "context"))):
-                rows.setdefault(k, (int(own["weight"][k]), text, place, windows))
         n = len(own["h"])
-        sizes, packed = np.zeros(n, np.int64), {}
-        batch_keys: list[int] = []
-        held = 0
+        sizes, whole, packed = np.zeros(n, np.int64), np.zeros(n, np.uint8), []
+        keys, held_rows, held = [], [], 0
 
         def finish():
-            for k, mask in zip(batch_keys, repeated_windows([rows.pop(k) for k in batch_keys])):
-                packed[k] = np.packbits(mask)
-                sizes[k] = len(packed[k])
-
-        last = None
-        for k in sorted(rows):
-            anchor = own["h"][k]
-            if held > MOST_LETTERS and anchor != last:
-                finish()
-                batch_keys, held = [], 0
-            batch_keys.append(k)
-            held += len(rows[k][1]) // LETTER
-            last = anchor
-        if batch_keys:
+            for k, mask in zip(keys, repeated_windows(held_rows)):
+                whole[k] = mask.all()
+                packed.append(np.packbits(mask) if not whole[k] else np.zeros(0, np.uint8))
+                sizes[k] = len(packed[-1])
+
+        for batch in batches:
+            for k, place, windows, text in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("index", "place", "windows", "context"))):
+                if keys and k == keys[-1]:  # sent by several tasks
+                    continue
+                if held > MOST_LETTERS and own["h"][k] != own["h"][keys[-1]]:
+                    finish()
+                    keys, held_rows, held = [], [], 0
+                keys.append(k)
+                held_rows.append((int(own["weight"][k]), text, place, windows))
+                held += len(text) // LETTER
+        if keys:
             finish()
-        bits = np.concatenate([packed[k] for k in sorted(packed)]) if packed else np.zeros(0, np.uint8)
-        save_arrays(f"{folder}/masks-{shard}", {"at": np.concatenate([[0], np.cumsum(sizes)]), "bits": bits})
+        bits = np.concatenate(packed) if packed else np.zeros(0, np.uint8)
+        save_arrays(f"{folder}/masks-{shard}", {"at": np.concatenate([[0], np.cumsum(sizes)]), "bits": bits, "whole": whole})
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(packed)])], ["shard", "n"])
 
     sent = map_arrow(source, send_contexts, "shard int, index long, place int, windows int, context binary")
-    by_shard(sent, shards, sort_contexts, "shard int, n long").collect()
+    by_shard(sent, shards, sort_contexts, "shard int, n long", order="index").collect()
 
     if hot:
 
@@ -524,14 +531,16 @@ def marked(data: np.ndarray, off: np.ndarray, found: tuple[str, int, bool]) -> n
     shard, index = files.find(h, c, shards)
     change = np.zeros(len(data) + 1, np.int32)
     hit = np.flatnonzero(index >= 0)
-    flags = np.zeros(len(hit), np.uint8)
-    for s in np.unique(shard[hit]).tolist():
-        own = shard[hit] == s
+    flags, full = np.zeros(len(hit), np.uint8), np.zeros(len(hit), bool)
+    order = np.argsort(shard[hit], kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(shard[hit][order])) + 1) if len(hit) else []:
+        s = int(shard[hit[own[0]]])
         flags[own] = files.maps[s]["flag"][index[hit[own]]]
-    whole = hit[flags == DUP]
-    np.add.at(change, lo[whole], 1)
-    np.add.at(change, lo[whole] + windows[whole] + LENGTH - 1, -1)
-    for i, flag in zip(hit[flags > DUP].tolist(), flags[flags > DUP].tolist()):
+        if (mask := masks.shard(s)) is not None:
+            full[own] = (mask["whole"][index[hit[own]]] == 1) & (flags[own] == TEXT)
+    np.add.at(change, lo[hit[full]], 1)
+    np.add.at(change, lo[hit[full]] + windows[hit[full]] + LENGTH - 1, -1)
+    for i, flag in zip(hit[~full].tolist(), flags[~full].tolist()):
         a, w = int(lo[i]), int(windows[i])
         if flag == TEXT:
             own = masks.shard(int(shard[i]))

@@ -79,3 +79,12 @@ def test_segments_of_long_texts(monkeypatch):
 def test_empty_table(spark):
     df = fixtures.frame(spark, [(1, "x")]).where("false")
     assert sd.remove_repeats(df, sd.repeats(df)).count() == 0
+
+
+@pytest.mark.parametrize("shards", [8, 51])
+def test_anchors_spread_over_shards(shards):
+    """Anchors are minima of hashes; shards of them must not be."""
+    b = np.random.default_rng(3).integers(97, 123, 2_000_000).astype(np.uint8)
+    h = np.unique(sd.anchors(b, np.array([0, len(b)]))[0])
+    sizes = np.bincount(sd.shard_of(h, shards), minlength=shards)
+    assert sizes.max() < 2 * sizes.mean()
