@@ -8,8 +8,10 @@ span is kept if it is a valid match of its base pattern (always), or if its prob
 threshold and it overlaps no base span of its kind. Trees become CASE expressions of the plan.
 
 Null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows are judged alike.
-Very long texts are searched whole; the patterns use possessive repeats, so no text makes them recurse or
-take quadratic time. Base patterns with anchors give the same leftmost matches as without (see PATTERNS).
+Very long texts are searched whole, in time that grows as their length and the number of matches: patterns
+use possessive repeats, running offsets are folded in blocks (`scan`), and context is cut from pieces of the
+text (`cut`). An empty table gives an empty result; other columns of the input pass through find_pii, but for
+names that begin with larkspur_, which are replaced. Base patterns with anchors give the same leftmost matches as without (see PATTERNS).
 """
 
 from __future__ import annotations
@@ -78,36 +80,87 @@ def valid(kind: str, m: Column) -> Column:
 
 
 SPAN = "struct<start:int,end:int,kind:int,generator:int,text:string>"
+#: Elements that a scan folds at a time, and characters of a piece of text.
+BLOCK, PIECE = 128, 1024
+
+
+def let(value: str, name: str, use: str) -> str:
+    """SQL of `use` with `name` for the value, computed once: a lambda would compute an expression at each element."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
+
+def scan(items: str, zero: str, step, emit) -> str:
+    """SQL of the array emit(state, x) of each element, its state folded by step over the elements before it.
+
+    Arrays are immutable, so appending one by one would take the square of their length. States at the starts
+    of blocks are found first; then each block is folded by itself. (SQL text, since so many lambdas built
+    call by call would take seconds.)
+    """
+    part = f"slice(own, b * {BLOCK} + 1, {BLOCK})"
+    blocks = f"sequence(0, cast((size(own) - 1) div {BLOCK} as int))"
+    after = let(f"aggregate({part}, acc.state, (st, x) -> {step('st', 'x')})", "nx", "named_struct('state', nx, 'seen', concat(acc.seen, array(nx)))")
+    starts = f"aggregate({blocks}, named_struct('state', {zero}, 'seen', array({zero})), (acc, b) -> {after}, acc -> acc.seen)"
+    # the first element makes the array, which gives it its type
+    first = f"named_struct('state', {step('states[b]', 'xs[0]')}, 'out', array({emit('states[b]', 'xs[0]')}))"
+    add = f"(acc, x) -> named_struct('state', {step('acc.state', 'x')}, 'out', concat(acc.out, array({emit('acc.state', 'x')})))"
+    block = let(part, "xs", f"aggregate(slice(xs, 2, {BLOCK}), {first}, {add}, acc -> acc.out)")
+    return let(items, "own", let(starts, "states", f"flatten(transform({blocks}, b -> {block}))"))
+
+
+def sql(column: Column) -> str:
+    """SQL text of a column that is named or simply made."""
+    return column._jc.node().sql()
+
+
+def pieces_of(text: Column) -> Column:
+    return F.expr(pieces_sql(sql(text)))
+
+
+def pieces_sql(text: str) -> str:
+    """The text in pieces of PIECE characters: a substring of the whole would be counted from its first byte."""
+    return f"if(length({text}) <= {PIECE}, array({text}), regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0))"
+
+
+def cut(pieces: str, start: str, n: str) -> str:
+    """SQL of n characters from `start` (from 0) of a text in pieces."""
+    some = f"slice({pieces}, cast(({start}) div {PIECE} + 1 as int), cast(({start} + {n} - 1) div {PIECE} - ({start}) div {PIECE} + 1 as int))"
+    return f"if({n} > 0, substring(array_join({some}, ''), cast(({start}) % {PIECE} + 1 as int), {n}), '')"
 
 
 def matches(text: Column, generator: int) -> Column:
     """Array of a generator's leftmost matches with their places."""
     kind, pattern, needed = PATTERNS[generator]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast(f"array<{SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), F.lit(generator).alias("generator"), x["found"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(F.element_at(gaps, i).alias("gap"), F.element_at(found, i).alias("found")))
-    spans = F.aggregate(pairs, zero, add)["out"]
-    possible = F.contains(text, F.lit(needed)) if needed else F.rlike(text, F.lit(DIGITS[generator]))
-    return F.when(possible, F.when(F.size(found) > 0, spans).otherwise(empty)).otherwise(empty)
+    name = sql(text)
+    each = "transform(found, (m, i) -> named_struct('gap', length(gaps[i]), 'long', length(m), 'text', m))"
+    step = lambda at, x: f"{at} + {x}.gap + {x}.long"
+    span = lambda at, x: f"named_struct('start', {at} + {x}.gap, 'end', {step(at, x)}, 'kind', {KINDS.index(kind)}, 'generator', {generator}, 'text', {x}.text)"
+    empty = f"cast(array() as array<{SPAN}>)"
+    placed = let(f"split({name}, r'{pattern}', -1)", "gaps", scan(each, "0", step, span))
+    some = let(f"regexp_extract_all({name}, r'{pattern}', 0)", "found", f"if(size(found) > 0, {placed}, {empty})")
+    possible = f"contains({name}, '{needed}')" if needed else f"rlike({name}, r'{DIGITS[generator]}')"
+    return F.expr(f"if({possible}, {some}, {empty})")
 
 
 FEATURES = ("kind", "generator", "length", "digits", "marks", "groups", "passes", "before_word", "after_word", "good", "bad", "last_letters", "different")
 
 
 def features(text: Column, s: Column) -> list[Column]:
-    """Format and context of a span, as doubles in the order of FEATURES."""
+    """Format and context of a span (a named column), as doubles in the order of FEATURES."""
+    name, name_of_text = sql(s), sql(text)
+    around = F.expr(let(pieces_sql(name_of_text), "pieces", context("pieces", name)))
+    return features_of(s, around)
+
+
+def context(pieces: str, s: str) -> str:
+    """SQL of (24 characters before, one before, one after) of a span of a text in pieces."""
+    at = f"greatest({s}.start - 24, 0)"
+    return f"named_struct('far', lower({cut(pieces, at, f'({s}.start - {at})')}), 'before', {cut(pieces, f'greatest({s}.start - 1, 0)', f'least({s}.start, 1)')}, 'after', {cut(pieces, f'{s}.end', '1')})"
+
+
+def features_of(s: Column, around: Column) -> list[Column]:
     m = s["text"]
     d = digits_of(m)
-    before = F.lower(F.substring(text, F.greatest(s["start"] - 24, F.lit(0)) + 1, F.least(s["start"], F.lit(24))))
+    before = around["far"]
     word = "^[\\p{N}\\p{L}]$"
     by_kind = lambda make: F.when(s["kind"] == 0, make(0)).when(s["kind"] == 1, make(1)).when(s["kind"] == 2, make(2)).otherwise(make(3))
     columns = (
@@ -118,8 +171,8 @@ def features(text: Column, s: Column) -> list[Column]:
         F.length(F.regexp_replace(m, "[\\p{N}\\p{L}]", "")),
         F.size(F.regexp_extract_all(m, F.lit("[\\p{N}\\p{L}]+"), F.lit(0))),
         by_kind(lambda k: valid(KINDS[k], m)),
-        F.rlike(F.substring(text, s["start"], F.lit(1)), F.lit(word)) & (s["start"] > 0),
-        F.rlike(F.substring(text, s["end"] + 1, F.lit(1)), F.lit(word)),
+        F.rlike(around["before"], F.lit(word)),
+        F.rlike(around["after"], F.lit(word)),
         by_kind(lambda k: F.rlike(before, F.lit(GOOD[k]))),
         F.rlike(before, F.lit(BAD)),
         F.length(F.regexp_extract(m, "[A-Za-z]*$", 0)),
@@ -282,33 +335,54 @@ def built_in_model(spark: SparkSession) -> Model:
     return _MODELS[key]
 
 
+def _apart(marked: str) -> str:
+    """SQL of the rows of an array of (start, more, kind, end, ...) that are `more` and overlap no other row of their
+    kind: one sweep from each end carries the furthest end of those before and the nearest start of those after."""
+    own = lambda st, x: f"element_at({st}, {x}.kind + 1)"
+    seen = lambda pick, field: lambda st, x: f"transform({st}, (e, k) -> if(k = {x}.kind and not {x}.more, {pick}(e, {x}.{field}), e))"
+    mark = lambda x, hit: "named_struct(" + ", ".join(f"'{c}', {x}.{c}" for c in ("start", "more", "kind", "end", "generator", "text")) + f", 'hit', {x}.hit or {hit})"
+    four = lambda n: f"array({', '.join([str(n)] * len(KINDS))})"
+    forth = scan(f"array_sort({marked})", four(-1), seen("greatest", "end"), lambda st, x: mark(x, f"{own(st, x)} > {x}.start"))
+    back = scan(f"reverse({forth})", four(2**31 - 1), seen("least", "start"), lambda st, x: mark(x, f"{own(st, x)} < {x}.end"))
+    return f"filter({back}, x -> x.more and not x.hit)"
+
+
 def find_pii(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with larkspur_spans: array of (start, kind, end, base), by start, then kind as in KINDS."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = df.withColumn("larkspur_found", candidates(text))
     base_valid = lambda s: (s["generator"] < BASES) & F.when(s["kind"] == 1, valid("ip", s["text"])).when(s["kind"] == 2, valid("card", s["text"])).when(s["kind"] == 3, valid("phone", s["text"])).otherwise(F.lit(True))
     short = lambda s, base: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(base).alias("base"))
-    based = found.withColumn("larkspur_base", F.transform(F.filter("larkspur_found", base_valid), lambda s: short(s, True)))
     threshold = lambda k: F.element_at(F.array(*map(F.lit, model.thresholds)), k + 1)
-    free = F.filter("larkspur_found", lambda s: ~F.exists("larkspur_base", lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    more = F.filter(free, lambda s: model.column(features(text, s)) >= threshold(s["kind"]))
-    spans = F.array_sort(F.concat("larkspur_base", F.array_distinct(F.transform(more, lambda s: short(s, False)))))
-    return based.withColumn("larkspur_spans", spans).drop("larkspur_found", "larkspur_base")
+    text, found = F.col("larkspur_text"), F.col("larkspur_found")
+    made = df.withColumn("larkspur_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    made = made.withColumn("larkspur_found", candidates(text))
+    ranked = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (~base_valid(s)).alias("more"), *[s[c].alias(c) for c in ("kind", "end", "generator", "text")], F.lit(False).alias("hit")))
+    made = made.withColumn("larkspur_found", F.when(F.size(found) > 0, ranked))
+    # matches that overlap a base span of their kind are settled; of the others the trees judge
+    made = made.withColumn("larkspur_more", F.expr(f"if(exists(larkspur_found, x -> x.more), {_apart('larkspur_found')}, null)"))
+    made = made.withColumn("larkspur_pieces", F.when(F.size("larkspur_more") > 0, pieces_of(text)))
+    with_context = F.expr(f"transform(larkspur_more, s -> named_struct('s', s, 'around', {context('larkspur_pieces', 's')}))")
+    with_features = F.transform(with_context, lambda x: F.struct(x["s"].alias("s"), F.array(*features_of(x["s"], x["around"])).alias("v")))
+    made = made.withColumn("larkspur_more", F.when(F.size("larkspur_more") > 0, with_features))
+    likely = F.filter("larkspur_more", lambda x: model.column([x["v"][i] for i in range(len(FEATURES))]) >= threshold(x["s"]["kind"]))
+    made = made.withColumn("larkspur_more", F.transform(likely, lambda x: short(x["s"], False)))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")
+    base = F.transform(F.filter(found, lambda s: ~s["more"]), lambda s: short(s, True))
+    spans = F.coalesce(F.array_sort(F.concat(F.coalesce(base, none), F.coalesce("larkspur_more", none))), none)
+    made = made.withColumn("larkspur_spans", spans)
+    # several generators may propose one span
+    distinct = F.expr("filter(larkspur_spans, (s, i) -> i = 0 or s <> larkspur_spans[greatest(i - 1, 0)])")
+    return made.withColumn("larkspur_spans", distinct).drop("larkspur_text", "larkspur_found", "larkspur_more", "larkspur_pieces")
 
 
 def redact(text: Column, spans: Column) -> Column:
     """Text with every span replaced by its kind in brackets; overlapping spans become one of the first's kind."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.element_at(names, s["kind"] + 1)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    folded = F.aggregate(spans, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
+    name = sql(text)
+    part = lambda at, s: f"if({s}.start >= {at}, concat({cut('pieces', at, f'({s}.start - {at})')}, element_at({names}, {s}.kind + 1)), '')"
+    kept = scan("spans", "0", lambda at, s: f"greatest({at}, {s}.end)", part)
+    end = "array_max(transform(spans, s -> s.end))"
+    whole = let(pieces_sql(name), "pieces", let(sql(spans), "spans", f"concat(array_join({kept}, ''), {let(end, 'last', cut('pieces', 'last', f'(length({name}) - last)'))})"))
+    return F.expr(f"if(size({sql(spans)}) > 0, {whole}, {name})")
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -90,3 +90,30 @@ def test_plan_has_no_python(spark, tmp_path):
     folder = fixtures.tables(tmp_path, spark, [(1, "x")])
     plan = pii.op3_pii(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_very_many_matches_in_one_text(spark, tmp_path):
+    """Time grows as the matches do, not as their square."""
+    import time
+
+    line = "mail jo{0}@site.org or call 988-555-2485, card 41-11-11-11-11-11-11-11, ip 10.0.0.{1}, héllo. "
+    took = []
+    for n in (2000, 16_000):
+        text = "".join(line.format(i, i % 256) for i in range(n))
+        folder = fixtures.tables(tmp_path / str(n), spark, [(1, text)])
+        began = time.perf_counter()
+        out = pii.op3_pii(spark, folder).first()
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        red = pii.find_pii(docs, pii.built_in_model(spark)).select(pii.redact(F.col("text"), F.col("larkspur_spans"))).first()[0]
+        took.append(time.perf_counter() - began)
+        want = brute(text)
+        assert out.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert out.spans.count("phone") == n and red.count("[PHONE]") == n and red.count("[CARD]") == n and "@" not in red
+    assert took[1] < 24 * took[0] and took[1] < 120
+
+
+def test_empty_table_and_clashing_names(spark, tmp_path):
+    assert pii.op3_pii(spark, fixtures.tables(tmp_path, spark, [])).count() == 0
+    df = spark.createDataFrame([(1, "a@b.cd", 5, "x", "y"), (1, "a@b.cd", 5, "x", "y"), (None, None, None, None, None)], "doc_id long, text string, start int, kind string, larkspur_spans string")
+    got = pii.find_pii(df, pii.built_in_model(spark)).collect()
+    assert [(r.start, r.kind, len(r.larkspur_spans)) for r in got] == [(5, "x", 1), (5, "x", 1), (None, None, 0)]
