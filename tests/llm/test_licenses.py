@@ -58,3 +58,43 @@ def test_seeds_miss_nothing():
 
 def test_empty_table(spark):
     assert li.license_scan(fixtures.frame(spark, [(1, "x")]).where("false")).count() == 0
+
+
+def test_fuzzy_labels_equal_a_search_without_seeds():
+    """Every label that the bounded-error pattern finds anywhere in the text, and no other."""
+    import random
+
+    import regex
+
+    r, s = random.Random(4), li.Scanner(li.BASE + li.MORE)
+    patterns = [(n, regex.compile(r"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(n.phrase), n.errors))) for n in li.BASE + li.MORE]
+    for _ in range(120):
+        parts = []
+        for _ in range(3):
+            t = list(r.choice(li.BASE + li.MORE).phrase)
+            for _ in range(r.randrange(0, 8)):
+                i = r.randrange(len(t))
+                t[i] = r.choice(["", t[i] + "x", "y", t[i]]) if t[i] != " " else t[i]
+            parts += ["".join(t), r.choice(["plain words", "lorem", "x1 y2 z3"])]
+        flat = " ".join(words(" ".join(parts)))
+        want = {n.label for n, p in patterns if p.search(flat)}
+        assert {h[0] for h in s.scan(flat.encode())[1]} == want, flat
+
+
+def test_very_many_notices_in_one_text():
+    import time
+
+    s, took = li.Scanner(li.BASE + li.MORE), []
+    for n in (4000, 16_000):
+        text = b"the mit license, or Apache Licence; " * n
+        began = time.perf_counter()
+        count, hits = s.scan(text)
+        took.append(time.perf_counter() - began)
+        assert count == 6 * n and sum(h[0] == "mit" for h in hits) >= n and sum(h[0] == "apache" for h in hits) == n
+        assert hits[-1][1] >= 6 * n - 5
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_extra_columns_take_no_part(spark):
+    df = spark.createDataFrame([(1, "mit license", "x", 3), (1, "mit license", "x", 3), (None, None, None, None)], "doc_id long, text string, hits string, n_words int")
+    assert sorted((str(r.doc_id), r.n_words, len(r.hits)) for r in li.license_scan(df).collect()) == [("1", 2, 1), ("1", 2, 1), ("None", 0, 0)]
