@@ -13,7 +13,11 @@ windows. Rows with equal ids and texts have equal results, equal ids with other
 Very long documents are streams of words like any other. Without benchmark rows nothing is hit.
 
 The side with windows grows with the benchmark only; it is broadcast when it has at most MOST_BROADCAST
-windows, and otherwise joined by a shuffle on the rarest word (AQE splits frequent ones).
+windows. Otherwise words are counted before they meet the windows' words, and places of words, as numbers only,
+are joined by a shuffle on the rarest word's hash (AQE splits frequent ones); what fits there goes to the
+documents, which are shuffled once, and is compared word by word.
+
+Other columns of documents and benchmark take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import save_table
 from larkspur.llm.urls import LOWER, UPPER
 
 WINDOW = 10
@@ -52,14 +57,17 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Occurrences (doc_id, text_hash, start, size, items) of windows; start counts words from 0."""
     small = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df
-    windows = benchmark_windows(benchmark, window).persist()
+    windows = save_table(benchmark_windows(benchmark, window), "benchmark-windows")
     n = windows.count()
     # Tokens join in the lower case of all letters, which is equal wherever that of A-Z is; the comparison
     # of windows is in A-Z only. The outer explode keeps the optimizer from splitting every text twice.
     folded = windows.select("window", "items", F.transform("window", F.lower).alias("lower"))
     tokens = folded.select(F.explode("lower").alias("token")).distinct()
     seen = docs.select(F.explode_outer(raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("token"))
-    counts = seen.join(small(tokens, n), "token").groupBy("token").agg(F.count("*").alias("n"))
+    if n <= MOST_BROADCAST:
+        counts = seen.join(F.broadcast(tokens), "token").groupBy("token").agg(F.count("*").alias("n"))
+    else:
+        counts = seen.groupBy("token").agg(F.count("*").alias("n")).join(tokens, "token")
     # the rarest word of each window, the first in the alphabet and then the leftmost of equally rare ones
     placed = folded.select("window", "items", F.posexplode("lower").alias("at", "token")).join(small(counts, n), "token")
     rarest = (
@@ -69,14 +77,32 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         .where(F.col("present") == F.size("window"))
         .select(F.col("r.token").alias("token"), F.col("r.at").alias("at"), F.size("window").alias("size"), F.array_join("window", " ").alias("wanted"), F.lower(F.array_join("window", " ")).alias("wanted_lower"), "items")
     )
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("w"))
+    words = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("w"))
+    if n > MOST_BROADCAST:
+        return _shuffled(docs, words, rarest)
     stream = words.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("place", "word")).withColumn("token", F.lower("word"))
     start, size = F.col("place") - F.col("at"), F.col("size")
+    joined = stream.join(F.broadcast(rarest), (stream["token"] == rarest["token"]) & contained(start))
+    return joined.select("doc_id", "text_hash", start.alias("start"), size.alias("size"), "items")
+
+
+def contained(start: Column) -> Column:
+    """Whether the words w from `start` are the window's (size, wanted, wanted_lower)."""
+    size = F.col("size")
     fits = (start >= 0) & (start + size <= F.size("w"))
     there = F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, size), " ")
-    same = fits & (F.lower(there) == F.col("wanted_lower")) & (F.translate(there, UPPER, LOWER) == F.col("wanted"))
-    joined = stream.join(small(rarest, n), (stream["token"] == rarest["token"]) & same)
-    return joined.select("doc_id", "text_hash", start.alias("start"), size.alias("size"), "items")
+    return fits & (F.lower(there) == F.col("wanted_lower")) & (F.translate(there, UPPER, LOWER) == F.col("wanted"))
+
+
+def _shuffled(docs: DataFrame, words: DataFrame, rarest: DataFrame) -> DataFrame:
+    """Occurrences by a join of places; equal keys and hashes of other documents or words fail the comparison."""
+    key = F.xxhash64("doc_id", "text").alias("key")
+    stream = docs.select(key, F.posexplode_outer(raw_words(F.col("text"))).alias("place", "word")).select("key", "place", F.xxhash64(F.lower("word")).alias("token"))
+    wanted = rarest.withColumn("token", F.xxhash64("token"))
+    places = stream.join(wanted, "token").where(F.col("place") >= F.col("at")).select("key", (F.col("place") - F.col("at")).alias("start"), "size", "wanted", "wanted_lower", "items").distinct()
+    keyed = words.select("doc_id", "text_hash", "w", key)
+    joined = keyed.join(places, (keyed["key"] == places["key"]) & contained(F.col("start")))
+    return joined.select("doc_id", "text_hash", "start", "size", "items")
 
 
 def covered(spans: Column) -> Column:

@@ -65,3 +65,27 @@ def test_no_benchmark_and_repeated_ids(spark):
     b = spark.createDataFrame([(7, "a b")], "item_id long, text string")
     assert sorted((r.n_words, r.n_hit) for r in dc.decontaminate(d, b).collect()) == [(1, 0), (2, 2), (3, 0)]
     assert dc.decontaminate(d.where("false"), b).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_very_long_texts_and_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(dc, "MOST_BROADCAST", most)
+    r = random.Random(2)
+    pool = [f"w{i}" for i in range(50)]
+    long = " ".join(r.choice(pool) for _ in range(30_000))
+    item = " ".join(words(long)[20_000:20_014])
+    d = spark.createDataFrame([(1, long, 9, "q", [1]), (1, long, 9, "q", [1]), (2, item, None, None, None)], "doc_id long, text string, n int, token string, items array<int>")
+    b = spark.createDataFrame([(5, item, 1), (5, item, 1), (None, item, 1)], "item_id long, text string, n int")
+    want = brute([(1, long), (2, item)], [(5, item)])
+    got = [(x.doc_id, x.n_words, x.n_hit) for x in dc.decontaminate(d, b).collect()]
+    assert sorted(got) == [(1, *want[1][:2])] * 2 + [(2, *want[2][:2])]
+
+
+def test_shuffle_carries_places_not_texts(spark, tmp_path, monkeypatch):
+    """Beyond MOST_BROADCAST a document's words are not in the row of each of its words."""
+    monkeypatch.setattr(dc, "MOST_BROADCAST", 0)
+    docs, items = case()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plan = dc.find_windows(d, b)._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("posexplode")
+    assert "key#" in plan[:at] and not re.search(r"Generate posexplode\(w#", plan)
