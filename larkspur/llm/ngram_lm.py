@@ -5,18 +5,22 @@ n-grams are counted in blocks: each task sorts its own n-grams, packs them by ke
 range merges the blocks. Level 1 holds the words, sorted by 64-bit hash; the word id is the rank. Level k
 holds n-grams sorted by (rank of the context in level k-1, id of the last word): children of a context lie
 together, and a monotone pointer sequence says where they begin. The level's sequence context * V + word
-is monotone as a whole and kept as Elias-Fano halves; a lookup is a successor search for the word relative
-to its context's base. Pointers are the same structure. A level is cut into shards by the hash of the
-n-gram's first word. Per n-gram the trie keeps the discounted probability, per context the share left for
-shorter contexts, both as codes of 256-entry quantile tables. Files are mapped into memory by the tasks
-that score: their pages belong to the file cache, not to the worker.
+is monotone as a whole and kept as Elias-Fano halves; a lookup takes the context's range from the pointers
+and searches the word's successor inside it. Pointers are the same structure.
+
+Levels are cut into shards at places in the order of the first two words: at equal shares of the training
+tokens as the words' counts foretell them, so a frequent first word takes several shards. What a model says
+doesn't depend on the cuts: discounts and tables are of a whole level, and a first word that is cut has its
+children counted over all its shards. Per n-gram the trie keeps the discounted probability, per context the
+share left for shorter contexts, both as codes of a level's table of 256 quantiles. Files are mapped into
+memory by the tasks that score: their pages belong to the file cache, not to the worker.
 
 Smoothing is interpolated absolute discounting: p(w|h) = max(c(hw)-D, 0)/c(h) + D*T(h)/c(h) * p(w|h'),
 with D = n1/(n1+2*n2) of each level; below words is the uniform 1/(V+1), which is what an unknown word
 gets. The first words of a text have the contexts that there are; no begin marks.
 
 Null or empty text is one end token. Repeated rows count as often as they occur. Without training rows all
-words are unknown. Two words with one 64-bit hash would count as one (chance about V^2/2^65).
+words are unknown. Very long texts are counted and scored whole; other columns take no part. Two words with one 64-bit hash would count as one (chance about V^2/2^65).
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,15 +128,34 @@ class EliasFano:
         bit = i * self.low_bits
         return (self.window[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x (uint64), -1 where the successor of x isn't x."""
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The elements with indices i."""
+        if not hasattr(self, "ones"):
+            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        left, rest = i - self.ones[word], self.high[word]
+        place = np.zeros(len(i), np.int64)
+        for step in (32, 16, 8, 4, 2, 1):  # select the left-th one of the word
+            low = rest & np.uint64((1 << step) - 1)
+            ones = np.bitwise_count(low)
+            go = ones <= left
+            left = left - ones * go
+            place += step * go
+            rest = np.where(go, rest >> np.uint64(step), low)
+        return ((word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(i)
+
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x (uint64), -1 where the successor of x isn't x; among the indices from lo to hi, if given."""
         result = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return result
         high, want = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
         first, number = self.bucket(high)
-        open_ = np.flatnonzero(number > 0)
-        first, last, want = first[open_], (first + number)[open_], want[open_]
+        last = first + number
+        if lo is not None:
+            first, last = np.maximum(first, lo), np.minimum(last, hi)
+        open_ = np.flatnonzero(first < last)
+        first, last, want = first[open_], last[open_], want[open_]
         # successor of the low half among equal high halves: their number is one on average
         while len(open_):
             mid = (first + last) >> 1
@@ -215,16 +239,26 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
 
 
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and table of 256 representatives: quantiles of the logarithms; few distinct values stay exact."""
-    own = np.unique(values)
-    if len(own) > 256:
-        own = np.unique(np.quantile(values, np.linspace(0, 1, 256), method="nearest"))
-    # nearest representative, by logarithm
-    log = np.log(np.maximum(values, 1e-300))
-    edges = np.log(np.maximum(own, 1e-300))
-    codes = np.searchsorted((edges[1:] + edges[:-1]) / 2, log)
-    return codes.astype(np.uint8), own.astype(np.float64)
+#: Steps of a power of two in the fine grid that tables are made from.
+FINE = 1024
+
+
+def fine(p: np.ndarray) -> np.ndarray:
+    """Places of probabilities in a logarithmic grid, the same for all shards."""
+    return np.minimum(np.rint(-np.log2(np.maximum(p, 2.0**-63)) * FINE), 65535).astype(np.int64)
+
+
+def table_of(bins: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """At most 256 of the sorted occupied places of the fine grid: all of them, or quantiles."""
+    if len(bins) > 256:
+        total = np.cumsum(times)
+        bins = np.unique(bins[np.searchsorted(total, np.linspace(0, total[-1] - 1, 256), side="right").clip(0, len(bins) - 1)])
+    return bins.astype(np.int64)
+
+
+def codes_of(places: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The nearest entry of the table."""
+    return np.searchsorted((table[1:] + table[:-1]) / 2, places).astype(np.uint8)
 
 
 # --- tokens ------------------------------------------------------------------------------------------
@@ -282,13 +316,28 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 class Level:
     """One shard of level k >= 2."""
 
-    def __init__(self, path: str):
-        a, meta = map_arrays(path)
-        self.contexts = meta["contexts"]
+    def __init__(self, folder: str, k: int, shard: int):
+        a, meta = map_arrays(f"{folder}/level{k}-{shard}")
+        self.folder, self.k, self.shard = folder, k, shard
+        self.contexts, self.low = meta["contexts"], meta["low"]
         self.keys = EliasFano(meta["n"], meta["low_bits"], a["low"], a["high"], a["zeros"])
         self.pointers = EliasFano(meta["contexts"] + 1, meta["p_low_bits"], a["p_low"], a["p_high"], a["p_zeros"])
-        self.codes, self.table = a["codes"], a["table"]
-        self.left_codes, self.left_table = a["left_codes"], a["left_table"]
+
+    def load_codes(self) -> None:
+        if not hasattr(self, "codes"):
+            a = map_arrays(f"{self.folder}/codes{self.k}-{self.shard}")[0]
+            tables = map_arrays(f"{self.folder}/tables{self.k}")[0]
+            self.codes, self.left_codes = a["codes"], a["left_codes"]
+            self.table, self.left_table = (2.0 ** (-tables[x] / FINE) for x in ("table", "left_table"))
+
+    def children(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child and the one after the last of sorted contexts."""
+        if not len(contexts):
+            return contexts, contexts
+        fresh = np.concatenate([[True], contexts[1:] != contexts[:-1]])
+        own, back = contexts[fresh], np.cumsum(fresh) - 1
+        ends = self.pointers.access(np.concatenate([own, own + 1])).astype(np.int64)
+        return ends[: len(own)][back], ends[len(own) :][back]
 
 
 class Trie:
@@ -297,14 +346,33 @@ class Trie:
     def __init__(self, folder: str, order: int):
         self.folder, self.order = folder, order
         a, meta = map_arrays(f"{folder}/words")
-        self.hashes, self.counts, self.starts = a["hashes"], a["counts"], a["starts"]
+        self.hashes, self.cumulative = a["hashes"], a["cumulative"]
         self.total, self.size, self.shards, self.discount = meta["total"], len(self.hashes), meta["shards"], meta["discount"]
         self.levels: dict[tuple, Level | np.ndarray] = {}
         self.generation, self.known_ids = -1, np.zeros(0, np.int64)
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return self.cumulative[ids + 1] - self.cumulative[ids]
+
+    def pair_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shard of the n-grams that begin with words a, b; it never falls as (a, b) grows."""
+        before = self.cumulative[a]
+        total = max(1, self.total)
+        place = before + (self.cumulative[a + 1] - before) * (self.cumulative[b] / total)
+        return np.minimum(place * (self.shards / total), self.shards - 1).astype(np.int64)
+
+    def first_words(self, shard: int) -> tuple[int, int]:
+        """A range of ids that holds all first words of a shard's n-grams."""
+        if not self.size:
+            return 0, 0
+        step = self.total / self.shards
+        low = int(np.searchsorted(self.cumulative, int(shard * step), side="left")) - 2
+        high = int(np.searchsorted(self.cumulative, int((shard + 1) * step) + 1, side="right")) + 1
+        return max(0, low), min(self.size, max(high, 1))
+
     def level(self, k: int, shard: int) -> Level:
         if (k, shard) not in self.levels:
-            self.levels[k, shard] = Level(f"{self.folder}/level{k}-{shard}")
+            self.levels[k, shard] = Level(self.folder, k, shard)
         return self.levels[k, shard]
 
     def ids(self, numbers: np.ndarray, words: Vocabulary) -> np.ndarray:
@@ -323,9 +391,7 @@ class Trie:
         return self.known_ids[numbers]
 
     def bounds(self, k: int) -> np.ndarray:
-        """First global rank of each shard at level k."""
-        if k == 1:
-            return self.starts
+        """First global rank of each shard at level k >= 2."""
         if ("bounds", k) not in self.levels:
             self.levels["bounds", k] = map_arrays(f"{self.folder}/bounds{k}")[0]["starts"]
         return self.levels["bounds", k]
@@ -342,19 +408,24 @@ class Trie:
             return rank, value, left
         own_context, own_word, back = distinct_pairs(context[some], word[some] + 1, self.size + 1)
         own_word = own_word - 1
-        inside, after = self.bounds(k - 1), self.bounds(k)
+        after = self.bounds(k)
         found, p, rest = np.full(len(own_word), -1, np.int64), np.zeros(len(own_word)), np.ones(len(own_word))
-        cuts = np.searchsorted(own_context, inside)
+        if k == 2:  # unknown words come with the first ones of their context
+            cuts = np.searchsorted(self.pair_shard(own_context, np.maximum(own_word, 0)), np.arange(self.shards + 1))
+        else:
+            cuts = np.searchsorted(own_context, self.bounds(k - 1))
         for shard in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = int(cuts[shard]), int(cuts[shard + 1])
             level = self.level(k, shard)
-            local = own_context[a:b] - inside[shard]
-            known = own_word[a:b] >= 0
+            local = own_context[a:b] - (level.low if k == 2 else self.bounds(k - 1)[shard])
+            begin, end = level.children(local)
+            known = (own_word[a:b] >= 0) & (begin < end)
             at = np.full(b - a, -1, np.int64)
-            at[known] = level.keys.find(local[known].astype(np.uint64) * np.uint64(self.size) + own_word[a:b][known].astype(np.uint64))
+            at[known] = level.keys.find(local[known].astype(np.uint64) * np.uint64(self.size) + own_word[a:b][known].astype(np.uint64), begin[known], end[known])
             hit = np.flatnonzero(at >= 0)
             found[a + hit] = at[hit] + after[shard]
             if score:
+                level.load_codes()
                 p[a + hit] = level.table[level.codes[at[hit]]]
                 rest[a:b] = level.left_table[level.left_codes[local]]
         rank[some] = found[back]
@@ -368,7 +439,7 @@ class Trie:
         p = np.full(len(ids), 1.0 / (self.size + 1))
         if self.total:
             p *= self.discount * self.size / self.total
-            p[known] += np.maximum(self.counts[ids[known]] - self.discount, 0) / self.total
+            p[known] += np.maximum(self.counts(ids[known]) - self.discount, 0) / self.total
         rank = ids  # global rank of the k-gram that ends at each token
         for k in range(2, self.order + 1):
             rank, value, left = self.lookup(k, preceding(rank, at, k), ids, True)
@@ -483,7 +554,7 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
     # one row a shard comes to the driver
     sizes = {r.shard: r for r in reduce_blocks(map_arrow(source, count_words, "shard int, block binary"), write_words, stats).collect()}
     total = sum(r.total for r in sizes.values())
-    _join_words(folder, shards, sizes, total)
+    _join_words(spark, folder, shards, sizes, total)
 
     if order >= 2:
         _first_levels(source, folder, shards, min(order, 3))
@@ -526,20 +597,22 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
         def write_level(shard, keys, counts, k=k):
             model = trie(folder, k - 1)
-            _write_level(folder, k, shard, keys, counts, model.level(k - 1, shard).keys.n, model.size)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], ["shard", "n"])
+            found = _write_level(folder, k, shard, keys, counts, model.level(k - 1, shard).keys.n, model.size)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, *found), (pa.int32(), *[pa.int64()] * 3))], ["shard", "n", "once", "twice"])
 
         blocks = map_arrow(source, count_grams, "shard int, block binary")
-        done = {r.shard: r.n for r in reduce_blocks(blocks, write_level, "shard int, n long").collect()}
-        save_arrays(f"{folder}/bounds{k}", {"starts": np.concatenate([[0], np.cumsum([done.get(s, 0) for s in range(shards)])]).astype(np.int64)})
+        done = {r.shard: r for r in reduce_blocks(blocks, write_level, "shard int, n long, once long, twice long").collect()}
+        model = Trie(folder, k - 1)
         for shard in set(range(shards)) - set(done):  # ranges without n-grams
-            model = Trie(folder, k - 1)
             _write_level(folder, k, shard, np.zeros(0, np.uint64), np.zeros(0, np.int64), model.level(k - 1, shard).keys.n, model.size)
+        _save_bounds(folder, k, [done[s].n if s in done else 0 for s in range(shards)], sum(r.once for r in done.values()), sum(r.twice for r in done.values()))
+    if order >= 2:
+        _finish(spark, folder, shards, order)
     return folder, total
 
 
 def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> None:
-    """Levels 2 and, if `most` is 3, level 3 in one read: a 3-gram goes to its first word's shard as a pair
+    """Levels 2 and, if `most` is 3, level 3 in one read: a 3-gram goes to the shard of its first two words as a pair
     of numbers (first two words, last word), and the shard that has merged its 2-grams knows their ranks."""
 
     def count_grams(batches):
@@ -549,7 +622,7 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
         n = 0
 
         def flush():
-            """Blocks by (shard, level); first words count from the shard's first."""
+            """Blocks by (shard, level); first words count from the first that the shard may have."""
             a, b, c, times, level = (np.concatenate(x) for x in zip(*held))
             pieces = []
             for k in range(2, most + 1):
@@ -562,10 +635,10 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
                     place, z, again = distinct_pairs(back, c[own], size)
                     n_own = np.bincount(again, times[own], len(place)).astype(np.int64)
                     first, hi, lo = x[place], y[place], z
-                cuts = np.searchsorted(first, model.starts)
+                cuts = np.searchsorted(model.pair_shard(first, hi), np.arange(shards + 1))
                 for shard in np.flatnonzero(np.diff(cuts)).tolist():
                     part = slice(int(cuts[shard]), int(cuts[shard + 1]))
-                    keys = (first[part] - model.starts[shard]).astype(np.uint64) * np.uint64(size) + hi[part].astype(np.uint64)
+                    keys = (first[part] - model.first_words(shard)[0]).astype(np.uint64) * np.uint64(size) + hi[part].astype(np.uint64)
                     pieces.append((shard, k, pack(keys, n_own[part]), b"" if lo is None else lo[part].astype(np.uint32 if size < 2**32 else np.uint64).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.int32()), pa.array([p[2] for p in pieces], pa.binary()), pa.array([p[3] for p in pieces], pa.binary())], ["shard", "level", "block", "last"])
 
@@ -607,32 +680,125 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
                     if n > 2 * MOST_HELD:
                         triples, n = [_merge_triples(triples)], 0
         keys, counts = merge(*map(list, zip(*pairs))) if pairs else merge([], [])
-        _write_level(folder, 2, shard, keys, counts, int(model.starts[shard + 1] - model.starts[shard]), model.size)
-        sizes = [len(keys), 0]
+        low, high = model.first_words(shard)
+        found = [*_write_level(folder, 2, shard, keys, counts, high - low, model.size, low), 0, 0, 0]
+        first = (keys // np.uint64(size)).astype(np.int64)
+        # children of the shard's first and last context, which other shards may have too
+        ends = [int(x) + low for x in (first[0], first[-1])] if len(first) else [-1, -1]
+        found += [ends[0], int((first == first[0]).sum()) if len(first) else 0, ends[1], int((first == first[-1]).sum()) if len(first) else 0]
         if most >= 3:
             context, word, times = _merge_triples(triples)
             ranks = np.searchsorted(keys, context).astype(np.uint64)
-            sizes[1] = len(ranks)
-            _write_level(folder, 3, shard, ranks * np.uint64(size) + word, times, len(keys), model.size)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array(sizes[:1], pa.int64()), pa.array(sizes[1:], pa.int64())], ["shard", "n2", "n3"])
+            found[3:6] = _write_level(folder, 3, shard, ranks * np.uint64(size) + word, times, len(keys), model.size)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, *found), (pa.int32(), *[pa.int64()] * 10))], names)
 
+    names = ["shard", "n2", "once2", "twice2", "n3", "once3", "twice3", "first", "n_first", "last", "n_last"]
     blocks = map_arrow(source, count_grams, "shard int, level int, block binary, last binary")
     # one row a shard
-    done = {r.shard: r for r in by_shard(blocks, shards, write_levels, "shard int, n2 long, n3 long").collect()}
+    done = {r.shard: r for r in by_shard(blocks, shards, write_levels, "shard int, " + ", ".join(f"{n} long" for n in names[1:])).collect()}
     words = Trie(folder, 1)
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for shard in set(range(shards)) - set(done):  # ranges without n-grams
-        _write_level(folder, 2, shard, *none, int(words.starts[shard + 1] - words.starts[shard]), words.size)
+        low, high = words.first_words(shard)
+        _write_level(folder, 2, shard, *none, high - low, words.size, low)
         if most >= 3:
             _write_level(folder, 3, shard, *none, 0, words.size)
+    cut: dict[int, int] = {}
+    for r in done.values():
+        for word, n in {r.first: r.n_first, r.last: r.n_last}.items():
+            if n:
+                cut[word] = cut.get(word, 0) + n
     for k in range(2, most + 1):
-        sizes = [getattr(done[s], f"n{k}") if s in done else 0 for s in range(shards)]
-        save_arrays(f"{folder}/bounds{k}", {"starts": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)})
+        of = lambda name, k=k: [getattr(done[s], f"{name}{k}") if s in done else 0 for s in range(shards)]
+        _save_bounds(folder, k, of("n"), sum(of("once")), sum(of("twice")), cut if k == 2 else {})
+
+
+def _save_bounds(folder: str, k: int, sizes: list[int], once: int, twice: int, cut: dict[int, int] | None = None) -> None:
+    """First ranks of a level's shards, its discount, and the children of contexts that are cut."""
+    words = sorted(cut or {})
+    arrays = {"starts": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), "cut": np.array(words, np.int64), "children": np.array([cut[w] for w in words], np.int64)}
+    save_arrays(f"{folder}/bounds{k}", arrays, discount=discount(once, twice))
+
 
+def _write_level(folder: str, k: int, shard: int, keys: np.ndarray, counts: np.ndarray, contexts: int, words: int, low: int = 0) -> tuple[int, int, int]:
+    """Write a shard's sequence and pointers, and its counts until the level's discount is known."""
+    ef = EliasFano.build(keys, max(1, contexts * max(1, words)))
+    children = np.bincount((keys // np.uint64(max(1, words))).astype(np.int64), minlength=contexts)
+    pointers = EliasFano.build(np.concatenate([[0], np.cumsum(children)]).astype(np.uint64), len(keys) + 1)
+    arrays = ef.parts() | {f"p_{n}": a for n, a in pointers.parts().items()}
+    save_arrays(f"{folder}/level{k}-{shard}", arrays, n=len(keys), contexts=contexts, low_bits=ef.low_bits, p_low_bits=pointers.low_bits, low=low)
+    save_arrays(f"{folder}/counts{k}-{shard}", {"small": np.minimum(counts, 255).astype(np.uint8), "large": counts[counts >= 255].astype(np.int64)})
+    return len(keys), int((counts == 1).sum()), int((counts == 2).sum())
+
+
+def _ratios(model: Trie, k: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the fine grid of a shard's discounted probabilities and of its contexts' shares for shorter ones."""
+    folder, level = model.folder, model.level(k, shard)
+    bounds, meta = map_arrays(f"{folder}/bounds{k}")
+    stored = map_arrays(f"{folder}/counts{k}-{shard}")[0]
+    counts = stored["small"].astype(np.int64)
+    counts[counts == 255] = stored["large"]
+    pointers = level.pointers.values().astype(np.int64)
+    children = np.diff(pointers)
+    context = np.repeat(np.arange(level.contexts), children)
+    if k == 2:
+        # a word is followed by another token as often as it occurs, the end by none
+        words = np.arange(level.low, level.low + level.contexts)
+        sums = model.counts(words) if level.contexts else np.zeros(0, np.int64)
+        end = int(np.searchsorted(model.hashes, END_HASH))
+        sums[words == end] = 0
+        at = np.searchsorted(bounds["cut"], words)
+        at[at == len(bounds["cut"])] = 0
+        if len(bounds["cut"]):
+            children = np.where(bounds["cut"][at] == words, bounds["children"][at], children)
+    else:
+        total = np.concatenate([[0], np.cumsum(counts)])
+        sums = total[pointers[1:]] - total[pointers[:-1]]
+    d = meta["discount"]
+    left = np.where(sums > 0, d * children / np.maximum(sums, 1), 1.0)
+    return fine((counts - d) / np.maximum(sums[context], 1)), fine(left)
 
-def _write_level(folder: str, k: int, shard: int, keys: np.ndarray, counts: np.ndarray, contexts: int, words: int) -> None:
-    arrays, meta = level_arrays(keys, counts, contexts, words)
-    save_arrays(f"{folder}/level{k}-{shard}", arrays, **meta)
+
+def _finish(spark, folder: str, shards: int, order: int) -> None:
+    """The codes of all levels, by tables of whole levels; then the counts go."""
+    every = spark.range(0, shards, 1, shards)
+
+    def histograms(batches):
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                for k in range(2, order + 1):
+                    model = trie(folder, order)
+                    level = model.level(k, shard)
+                    places, left = _ratios(model, k, shard)
+                    if k == 2:  # a context counts in the shard that its first children are in
+                        own = np.arange(level.low, level.low + level.contexts)
+                        left = left[model.pair_shard(own, np.zeros(len(own), np.int64)) == shard] if len(own) else left
+                    for kind, x in enumerate((places, left)):
+                        bins, times = np.unique(x, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), 2 * k + kind)), pa.array(bins), pa.array(times)], ["kind", "bin", "n"])
+
+    # at most 65,536 rows a kind
+    found = map_arrow(every, histograms, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
+    for k in range(2, order + 1):
+        made = {}
+        for kind, name in enumerate(("table", "left_table")):
+            own = found.filter(pa.compute.equal(found["kind"], 2 * k + kind)).sort_by("bin")
+            made[name] = table_of(own["bin"].to_numpy(), own["n"].to_numpy()) if own.num_rows else np.zeros(1, np.int64)
+        save_arrays(f"{folder}/tables{k}", made)
+
+    def write(batches):
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                for k in range(2, order + 1):
+                    tables = map_arrays(f"{folder}/tables{k}")[0]
+                    places, left = _ratios(trie(folder, order), k, shard)
+                    save_arrays(f"{folder}/codes{k}-{shard}", {"codes": codes_of(places, tables["table"]), "left_codes": codes_of(left, tables["left_table"])})
+            yield batch
+
+    map_arrow(every, write, "id long").count()
+    for k in range(2, order + 1):
+        for shard in range(shards):
+            os.remove(f"{folder}/counts{k}-{shard}")
 
 
 def _merge_triples(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -645,28 +811,35 @@ def _merge_triples(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return hi[first], lo[first], np.add.reduceat(n, first)
 
 
-def _join_words(folder: str, shards: int, sizes: dict, total: int) -> None:
-    """One file of level 1 from the shards' files, copied piece by piece."""
-    starts = np.concatenate([[0], np.cumsum([sizes[s].n if s in sizes else 0 for s in range(shards)])]).astype(np.int64)
-    once, twice = sum(r.once for r in sizes.values()), sum(r.twice for r in sizes.values())
-    own = [s for s in range(shards) if s in sizes]
+def _join_words(spark, folder: str, shards: int, sizes: dict, total: int) -> None:
+    """One file of level 1 from the shards' files: hashes, and how many tokens there are before each word.
+
+    The file gets its size first; one task a shard writes its part in its place, again if it is repeated.
+    """
+    of = lambda name: [getattr(sizes[s], name) if s in sizes else 0 for s in range(shards)]
+    starts, before = (np.concatenate([[0], np.cumsum(of(x))]).astype(np.int64) for x in ("n", "total"))
     n = int(starts[-1])
-    room = -(-8 * n // 64) * 64
-    places = {"hashes": ("<u8", 0, n), "counts": ("<i8", room, n), "starts": ("<i8", 2 * room, len(starts))}
-    line = json.dumps({"arrays": places, "meta": {"total": total, "shards": shards, "discount": discount(once, twice)}}).encode()
+    places = {"hashes": ("<u8", 0, n), "cumulative": ("<i8", -(-8 * n // 64) * 64, n + 1)}
+    line = json.dumps({"arrays": places, "meta": {"total": total, "shards": shards, "discount": discount(sum(of("once")), sum(of("twice")))}}).encode()
     begin = -(-(len(line) + 1) // 64) * 64
+    target = f"{folder}/words"
+    with open(target, "wb") as f:
+        f.write(line.ljust(begin - 1) + b"\n")
+        f.truncate(begin + places["cumulative"][1] + -(-8 * (n + 1) // 64) * 64)
 
-    def write(target: str) -> None:
-        with open(target, "wb") as f:
-            f.write(line.ljust(begin - 1) + b"\n")
-            for name in ("hashes", "counts"):
-                f.seek(begin + places[name][1])
-                for s in own:
-                    f.write(map_arrays(f"{folder}/words-{s}")[0][name].tobytes())
-            f.seek(begin + places["starts"][1])
-            f.write(starts.tobytes())
-
-    write_shared(f"{folder}/words", write)
+    def copy(batches):
+        for batch in batches:
+            with open(target, "r+b") as f:
+                for s in batch.column(0).to_pylist():
+                    own = map_arrays(f"{folder}/words-{s}")[0]
+                    f.seek(begin + 8 * int(starts[s]))
+                    f.write(own["hashes"].tobytes())
+                    f.seek(begin + places["cumulative"][1] + 8 * (int(starts[s]) + 1))
+                    f.write((before[s] + np.cumsum(own["counts"])).astype("<i8").tobytes())
+            yield batch
+
+    own = [s for s in range(shards) if s in sizes]
+    map_arrow(spark.range(0, shards, 1, min(shards, 64)).where(F.col("id").isin(own)) if len(own) < shards else spark.range(0, shards, 1, min(shards, 64)), copy, "id long").count()
     for s in own:
         os.remove(f"{folder}/words-{s}")
 
@@ -675,21 +848,6 @@ def discount(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
 
 
-def level_arrays(keys: np.ndarray, counts: np.ndarray, contexts: int, words: int) -> tuple[dict[str, np.ndarray], dict]:
-    """The arrays of one shard of a level from its sorted keys context * words + word."""
-    ef = EliasFano.build(keys, max(1, contexts * max(1, words)))
-    context = (keys // np.uint64(max(1, words))).astype(np.int64)
-    children = np.bincount(context, minlength=contexts)
-    sums = np.bincount(context, counts, contexts)
-    pointers = EliasFano.build(np.concatenate([[0], np.cumsum(children)]).astype(np.uint64), len(keys) + 1)
-    d = discount(int((counts == 1).sum()), int((counts == 2).sum()))
-    codes, table = quantise(np.maximum(counts - d, 0) / np.maximum(sums[context], 1)) if len(keys) else (np.zeros(0, np.uint8), np.ones(1))
-    left = np.where(sums > 0, d * children / np.maximum(sums, 1), 1.0)
-    left_codes, left_table = quantise(left) if contexts else (np.zeros(0, np.uint8), np.ones(1))
-    arrays = ef.parts() | {f"p_{n}": a for n, a in pointers.parts().items()} | {"codes": codes, "table": table, "left_codes": left_codes, "left_table": left_table}
-    return arrays, {"n": len(keys), "contexts": contexts, "low_bits": ef.low_bits, "p_low_bits": pointers.low_bits}
-
-
 def score(df: DataFrame, model: tuple[str, int], order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each text."""
     folder, total = model
@@ -702,7 +860,7 @@ def score(df: DataFrame, model: tuple[str, int], order: int = ORDER, id_col: str
                 ids = own.ids(numbers, words)
                 known = ids >= 0
                 counts = np.zeros(len(ids))
-                counts[known] = own.counts[ids[known]]
+                counts[known] = own.counts(ids[known])
                 base = np.log10((counts + 1) / (own.total + own.size + 1))
                 sums = lambda x: np.add.reduceat(x, at[:-1])
                 columns = [

@@ -74,10 +74,31 @@ def test_model_equals_dictionaries(spark, order):
         assert r.score == pytest.approx(want[4], rel=0.02)  # codes of 256 values
 
 
-def test_shards_agree(spark):
-    df = fixtures.frame(spark, fixtures.numbered(40))
-    one, many = (sorted(r.base_score for r in lm.score(df, lm.train(df, 3, s)).collect()) for s in (1, 7))
-    assert one == pytest.approx(many)
+@pytest.mark.parametrize("order", [3, 4])
+def test_shards_agree(spark, order):
+    """Scores don't depend on where levels are cut; a first word that is half of all tokens is cut too."""
+    hot = [(1000 + i, " ".join(f"the w{(i * 7 + j) % 90}" for j in range(60))) for i in range(30)]
+    rows = [*fixtures.numbered(40), *hot]
+    df = fixtures.frame(spark, rows)
+    want = sorted(w[4] for w in brute([tokens(t) for _, t in rows], [tokens(t) for _, t in rows], order))
+    scores = [sorted(r.score for r in lm.score(df, lm.train(df, order, s), order).collect()) for s in (1, 7, 64)]
+    assert scores[1] == pytest.approx(scores[0], rel=1e-9) and scores[2] == pytest.approx(scores[0], rel=1e-9)
+    assert scores[2] == pytest.approx(want, rel=0.02)
+
+
+def test_hot_first_word_is_split(spark):
+    df = fixtures.frame(spark, [(i, " ".join(f"the w{i}x{j}" for j in range(100))) for i in range(40)])
+    folder, _ = lm.train(df, 3, 8)
+    sizes = np.diff(lm.Trie(folder, 3).bounds(3))
+    assert sizes.max() < 2 * sizes.mean()
+
+
+def test_pointers_give_the_children():
+    r = np.random.default_rng(2)
+    v = np.sort(r.integers(0, 9000, 4000).astype(np.uint64))
+    ef = lm.EliasFano.build(v, 9001)
+    i = r.integers(0, 4000, 500)
+    assert (ef.access(i) == v[i]).all()
 
 
 def test_query(spark, tmp_path):
