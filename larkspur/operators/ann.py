@@ -1,23 +1,25 @@
 """Approximate nearest neighbours by partitioned cells; graph indexes of one machine have no place in a scan engine.
 
 An index is a table with a cell column: cells are files when it is written with partitionBy("cell"), and a
-search reads the probed cells only (dynamic partition pruning).
+search reads the probed cells only. Queries are a bounded matrix in every worker (`batched`).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from larkspur.functions import vectors as V
-from larkspur.operators.quantize import ProductQuantizer, Standardised, matrix_of, training_sample
-from larkspur.operators.search import knn, rescored, rounded, small, top_k
+from larkspur.operators import batched as B
+from larkspur.operators.quantize import ProductQuantizer, Standardised, training_sample
+from larkspur.operators.search import knn, rescored, rounded, top_k
 from larkspur.session import ship_package
 
 
@@ -37,6 +39,30 @@ def nearest_cells(v: Column, centres: np.ndarray, n: int) -> Column:
     return F.transform(F.slice(F.array_sort(each), 1, n), lambda x: x["cell"])
 
 
+def with_cell(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, embedding, cell) of vectors (id, embedding): the nearest centre by Arrow batches; others have no cell."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(np.asarray(centres, np.float64))  # at most 1,024 centres
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, x = B.matrix(batch.column(1), sent.value.shape[1])
+            if len(rows):
+                own = batch.take(pa.array(rows))
+                cell = B.scores("l2sq", x, sent.value).argmin(1)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell, pa.int32())], ["id", "embedding", "cell"])
+
+    source = vectors.select("id", "embedding")
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField("cell", IntegerType())]))
+
+
+def probed(asked: np.ndarray, centres: np.ndarray, probes: int) -> dict[int, np.ndarray]:
+    """Places of the queries that probe each cell: those of the `probes` nearest centres."""
+    near = np.argsort(B.scores("l2sq", asked, centres), axis=1, kind="stable")[:, :probes]
+    return {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+
+
 @dataclass
 class CellIndex:
     """Cells by k-means; `search` scans the probed cells exactly."""
@@ -48,19 +74,45 @@ class CellIndex:
     def fit(cls, vectors: DataFrame, cells: int | None = None) -> CellIndex:
         n = vectors.count()
         centres = kmeans(vectors, cells or max(2, min(1024, round(math.sqrt(n)))))
-        return cls(vectors.select("id", "embedding").withColumn("cell", F.element_at(nearest_cells(F.col("embedding"), centres, 1), 1)), centres)
+        return cls(with_cell(vectors, centres), centres)
 
     def write(self, path: str) -> CellIndex:
         self.table.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
         return CellIndex(self.table.sparkSession.read.parquet(path), self.centres)
 
-    def candidates(self, queries: DataFrame, probes: int) -> DataFrame:
-        probed = queries.select("qid", "vector", F.explode(nearest_cells(F.col("vector"), self.centres, probes)).alias("cell"))
-        return self.table.join(F.broadcast(probed), "cell")  # as many rows as queries times probes
+    def add(self, vectors: DataFrame) -> CellIndex:
+        """With more vectors, in the cells that there are."""
+        return replace(self, table=self.table.unionByName(with_cell(vectors, self.centres)))
+
+    def delete(self, ids: DataFrame) -> CellIndex:
+        return replace(self, table=self.table.join(ids.select("id"), "id", "left_anti"))
+
+    def probes_for(self, queries: DataFrame, k: int, least: float = 0.95) -> int:
+        """The fewest probes that reach this recall of the queries' exact neighbours; queries are a bounded sample."""
+        near = knn(self.table.select("id", "embedding"), queries, k, "l2").join(self.table.select("id", "cell"), "id").join(queries.select("qid", "vector"), "qid")
+        rows = near.select("cell", "vector").toArrow()  # k rows a query
+        if not rows.num_rows:
+            return 1
+        order = np.argsort(B.scores("l2sq", B.matrix(rows["vector"])[1], self.centres), axis=1, kind="stable")
+        place = np.sort((order == rows["cell"].to_numpy()[:, None]).argmax(1)) + 1
+        return int(place[min(len(place) - 1, math.ceil(least * len(place)) - 1)])
+
+    def found(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        asked = B.query_matrix(queries)[1]
+        probing = probed(asked, self.centres, probes) if len(asked) else {}
+
+        def score(batch, order, asked):
+            x = B.matrix(batch.column(1))[1]
+            for rows, q in B.by_cell(batch.column(2).to_numpy(), order, probing):
+                for some in B.in_steps(len(rows), len(q)):
+                    yield rows, q[some], B.scores("l2", asked[q[some]], x[rows])
+
+        # cells are folders of a written index: only those that are probed are read
+        return B.scan(self.table.where(F.col("cell").isin(sorted(probing))), queries, k, True, score)
 
     def search(self, queries: DataFrame, k: int, probes: int = 10) -> DataFrame:
-        found = self.candidates(queries, probes).select("qid", "id", rounded(V.distance(F.col("embedding"), F.col("vector"))).alias("score"))
-        return top_k(found, k, F.asc("score"), F.asc("id"))
+        found = self.found(queries, k, probes)
+        return top_k(found.select("qid", "id", rounded(F.col("score")).alias("score")), k, F.asc("score"), F.asc("id"))
 
 
 @dataclass
@@ -75,37 +127,53 @@ class ProductCellIndex:
     @classmethod
     def fit(cls, vectors: DataFrame, cells: int | None = None, m: int = 8, codewords: int = 256) -> ProductCellIndex:
         index = CellIndex.fit(vectors, cells)
-        centre = F.element_at(F.lit(None).cast("array<array<double>>"), 1) if not len(index.centres) else F.element_at(F.array(*[V.array_of(c) for c in index.centres]), F.col("cell") + 1)
-        residual = index.table.select("id", "cell", "embedding", V.subtract(F.col("embedding"), centre).alias("residual"))
-        quantizer = ProductQuantizer.fit(residual, m, codewords, "residual")
+        centres = index.centres
         ship_package(vectors.sparkSession)
 
+        def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cell = b.column(2).to_numpy()
+                    rest = B.matrix(b.column(1))[1] - centres[cell]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(rest), pa.list_(pa.float64()))], ["id", "cell", "residual"])
+
+        residual = index.table.mapInArrow(subtract, "id long, cell int, residual array<double>")
+        quantizer = ProductQuantizer.fit(residual.withColumn("embedding", F.col("residual")), m, codewords, "residual")
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    codes = quantizer.encode(np.stack(b.column(2).to_numpy(zero_copy_only=False)))
+                    codes = quantizer.encode(B.matrix(b.column(2))[1])
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "cell", "codes"])
 
-        table = residual.select("id", "cell", "residual").mapInArrow(run, "id long, cell int, codes binary")
-        return cls(table, vectors, index, quantizer)
+        return cls(residual.mapInArrow(run, "id long, cell int, codes binary"), vectors, index, quantizer)
 
     def search(self, queries: DataFrame, k: int, probes: int = 10, oversample: int = 5) -> DataFrame:
-        probed = queries.select("qid", "vector", F.explode(nearest_cells(F.col("vector"), self.cells.centres, probes)).alias("cell"))
         centres, quantizer = self.cells.centres, self.quantizer
+        asked = B.query_matrix(queries)[1]
+        probing = probed(asked, centres, probes) if len(asked) else {}
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables: dict[tuple[int, int], np.ndarray] = {}
-            for b in batches:
-                out = []
-                for qid, vector, cell, codes in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                    if (qid, cell) not in tables:
-                        tables[qid, cell] = quantizer.table(np.array(vector) - centres[cell])
-                    out.append(float(quantizer.distances(tables[qid, cell], np.frombuffer(codes, np.uint8)[None])[0]))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["id", "qid", "score"])
+        def score(batch, order, asked):
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            cell = batch.column(1).to_numpy()
+            for rows, q in B.by_cell(cell, order, probing):
+                centre = centres[cell[rows[0]]]
+                yield rows, q, np.stack([quantizer.distances(quantizer.table(asked[i] - centre), codes[rows]) for i in q])
 
-        joined = self.table.join(F.broadcast(probed), "cell").select("id", "qid", "vector", "cell", "codes")
-        rough = top_k(joined.mapInArrow(run, "id long, qid long, score double"), k * oversample, F.asc("score"), F.asc("id"))
-        return rescored(rough, self.vectors, queries, k)
+        rough = B.scan(self.table.where(F.col("cell").isin(sorted(probing))), queries, k * oversample, True, score)
+        return rescored(top_k(rough, k * oversample, F.asc("score"), F.asc("id")), self.vectors, queries, k)
+
+
+def coded_scores(quantizer: Standardised):
+    """Distances of queries to standardised codes (id, embedding, codes, ...)."""
+
+    def score(batch, order, asked):
+        codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(batch.num_rows, -1)
+        x = quantizer.decode(codes[order], asked.shape[1])
+        for q in B.in_steps(len(order), len(asked)):
+            yield order, q, B.scores("l2sq", asked[q], x)
+
+    return score
 
 
 @dataclass
@@ -119,42 +187,71 @@ class StandardisedIndex:
     def fit(cls, vectors: DataFrame, bits: int = 8) -> StandardisedIndex:
         from larkspur.operators.quantize import with_codes
 
-        quantizer = Standardised.fit(matrix_of(vectors), bits)
+        quantizer = Standardised.fit_table(vectors, bits)
         return cls(with_codes(vectors, lambda x: quantizer.encode(x).view(np.uint8)), quantizer)
 
     def search(self, queries: DataFrame, k: int, oversample: int = 3) -> DataFrame:
-        quantizer = self.quantizer
-        asked = small(queries)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x = np.stack([np.frombuffer(c, np.int8) for c in b.column(2).to_pylist()])
-                    q = np.stack(b.column(3).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    d = ((quantizer.decode(x, q.shape[1]) - q) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(d)], ["qid", "id", "score"])
-
-        rough = self.table.crossJoin(asked).select("id", "qid", "codes", "vector").mapInArrow(run, "qid long, id long, score double")
+        rough = B.scan(self.table.select("id", "embedding", "codes"), queries, k * oversample, True, coded_scores(self.quantizer))
         return rescored(top_k(rough, k * oversample, F.asc("score"), F.asc("id")), self.table.select("id", "embedding"), queries, k)
 
 
 @dataclass
 class AdaptiveIndex:
-    """Cells that hold few vectors are scanned, larger ones through standardised codes: chosen by cell size."""
+    """Cells that hold few vectors are scanned, larger ones through standardised codes: chosen by cell size when fitted."""
 
-    cells: CellIndex
-    threshold: int = 20_000
+    flat: CellIndex
+    dense: DataFrame | None  # id, embedding, codes, cell
+    quantizer: Standardised | None
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, cells: int | None = None, threshold: int = 20_000) -> AdaptiveIndex:
+        index = CellIndex.fit(vectors, cells)
+        sizes = index.table.groupBy("cell").count()
+        large = [r.cell for r in sizes.where(F.col("count") > threshold).collect()]  # one row a cell
+        if not large:
+            return cls(index, None, None)
+        inside = index.table.where(F.col("cell").isin(large))
+        quantizer = Standardised.fit_table(inside, 8)
 
-    def search(self, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
-        sizes = self.cells.table.groupBy("cell").count()
-        large = [r.cell for r in sizes.where(F.col("count") > self.threshold).collect()]  # one row a cell
-        flat = CellIndex(self.cells.table.where(~F.col("cell").isin(large)) if large else self.cells.table, self.cells.centres)
-        found = flat.search(queries, k, probes)
-        if large:
-            dense = StandardisedIndex.fit(self.cells.table.where(F.col("cell").isin(large)).select("id", "embedding"))
-            found = found.drop("rank").unionByName(dense.search(queries, k).drop("rank"))
-            return top_k(found, k, F.asc("score"), F.asc("id"))
-        return found
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    codes = np.ascontiguousarray(quantizer.encode(B.matrix(b.column(1))[1]))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], ["id", "embedding", "codes", "cell"])
+
+        schema = inside.schema
+        dense = inside.mapInArrow(run, StructType([schema["id"], schema["embedding"], StructField("codes", BinaryType()), schema["cell"]]))
+        return cls(replace(index, table=index.table.where(~F.col("cell").isin(large))), dense, quantizer)
+
+    def search(self, queries: DataFrame, k: int, probes: int = 16, oversample: int = 3) -> DataFrame:
+        found = self.flat.search(queries, k, probes)
+        if self.dense is None:
+            return found
+        asked, quantizer = B.query_matrix(queries)[1], self.quantizer
+        probing = probed(asked, self.flat.centres, probes) if len(asked) else {}
+
+        def score(batch, order, asked):
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(batch.num_rows, -1)
+            for rows, q in B.by_cell(batch.column(3).to_numpy(), order, probing):
+                yield rows, q, B.scores("l2sq", asked[q], quantizer.decode(codes[rows], asked.shape[1]))
+
+        rough = B.scan(self.dense.where(F.col("cell").isin(sorted(probing))), queries, k * oversample, True, score)
+        near = rescored(top_k(rough, k * oversample, F.asc("score"), F.asc("id")), self.dense.select("id", "embedding"), queries, k)
+        return top_k(found.drop("rank").unionByName(near.drop("rank")), k, F.asc("score"), F.asc("id"))
+
+
+def fuzz(vectors: DataFrame, rounds: int, seed: int = 0, k: int = 5) -> DataFrame:
+    """(round, same): whether an index equals exact search after random additions and deletions (by a hash of id and round)."""
+    spark = vectors.sparkSession
+    rows = []
+    for r in range(rounds):
+        draw = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(10))
+        index = CellIndex.fit(vectors.where(draw < 6), 6).add(vectors.where(draw >= 6)).delete(vectors.where(draw % 4 == 1))
+        kept = vectors.where(draw % 4 != 1)
+        queries = kept.where(F.col("id") % 20 == r).select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+        found, true = (df.select("qid", "id", "score", "rank") for df in (index.search(queries, k, 6), knn(kept, queries, k, "l2")))
+        rows.append((r, found.exceptAll(true).isEmpty() and true.exceptAll(found).isEmpty()))
+    return spark.createDataFrame(rows, "round int, same boolean")
 
 
 def recall_at(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -185,7 +282,7 @@ def split_router(vectors: DataFrame, centres: np.ndarray, spread: float = 2.0, l
 
 def build(kind: str, vectors: DataFrame, **options):
     """An index by name."""
-    kinds = {"flat": lambda v, **o: v, "cells": CellIndex.fit, "product": ProductCellIndex.fit, "standardised": StandardisedIndex.fit, "adaptive": lambda v, **o: AdaptiveIndex(CellIndex.fit(v), **o)}
+    kinds = {"flat": lambda v, **o: v, "cells": CellIndex.fit, "product": ProductCellIndex.fit, "standardised": StandardisedIndex.fit, "adaptive": AdaptiveIndex.fit}
     if kind not in kinds:
         raise ValueError(f"unknown index {kind}")
     return kinds[kind](vectors, **options)

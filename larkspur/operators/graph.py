@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.search import rounded, small, top_k
+from larkspur.session import scratch_dir
 
 
 def sessions(events: DataFrame, by: str, micros: str, gap_micros: int, order: list[str]) -> DataFrame:
@@ -132,10 +133,10 @@ def similar_names(rows: DataFrame, most: int = 2) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage where the cluster names a shared folder for it; otherwise only keep the rows."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    """Cut the lineage with a table in the folder that all executors share."""
+    path = scratch_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import memory as M
 from larkspur.functions import vectors as V
 from larkspur.operators.memory import decay_bucket
-from larkspur.operators.search import rounded, small, top_k
+from larkspur.operators.search import knn, rounded, small, top_k
 
 EPISODIC, SEMANTIC = 1, 2
 
@@ -48,7 +48,7 @@ def promote_clusters(memories: DataFrame, least: int = 5) -> DataFrame:
     """Each cluster's best record becomes semantic; its live episodic records are marked consolidated."""
     live = (F.col("tier") == EPISODIC) & ~F.col("tombstoned")
     groups = consolidate(memories.where(live), least).select("centroid", "best")
-    joined = memories.join(F.broadcast(groups), "centroid", "left")
+    joined = memories.join(small(groups), "centroid", "left")
     return joined.withColumn("consolidated", live & F.col("best").isNotNull()).withColumn("tier", F.when(F.coalesce(F.col("best") == F.col("id"), F.lit(False)), F.lit(SEMANTIC)).otherwise(F.col("tier"))).drop("best")
 
 
@@ -89,9 +89,10 @@ def bulk_decay(memories: DataFrame, older_than_ms: int, factor: float) -> DataFr
 
 
 def semantic_duplicates(new: DataFrame, stored: DataFrame, radius: float = 0.05) -> DataFrame:
-    """(new_id, id, distance): the nearest stored record of each new one within the radius; the new set is broadcast."""
-    asked = small(new.select(F.col("id").alias("new_id"), F.col("embedding").alias("vector")))
-    near = stored.crossJoin(asked).where(F.col("id") != F.col("new_id")).select("new_id", "id", rounded(V.distance(F.col("embedding"), F.col("vector"))).alias("distance"))
+    """(new_id, id, distance): the nearest other stored record of each new one within the radius; new records are a
+    stated set, whose size `knn` bounds."""
+    found = knn(stored.select("id", "embedding"), new.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), 2, "l2")
+    near = found.where(F.col("id") != F.col("qid")).select(F.col("qid").alias("new_id"), "id", F.col("score").alias("distance"))
     return top_k(near.where(F.col("distance") <= radius), 1, F.asc("distance"), F.asc("id"), by="new_id").drop("rank")
 
 

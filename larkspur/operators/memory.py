@@ -6,6 +6,8 @@ is filter, score, top k. `now_ms` is always a parameter.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import memory as M
 from larkspur.functions import vectors as V
-from larkspur.operators.search import rounded, small, top_k
+from larkspur.operators.search import bounded, rounded, small, top_k
 
 TIERS = ("WORKING", "EPISODIC", "SEMANTIC", "PROCEDURAL")
 
@@ -150,7 +152,7 @@ def recall(memories: DataFrame, queries: DataFrame, o: RecallOptions, now_ms: in
     live = memories.where(gates(o, now_ms))
     if suppressed is not None:
         live = live.join(suppressed.select("id"), "id", "left_anti")
-    scored = live.crossJoin(small(queries)).select("qid", "id", rounded(scan_score(o, now_ms)).alias("score"), rounded(similarity(o)).alias("similarity"), *([c.alias(n) for c, n in zip(lateral_score(o, now_ms), ("far", "lateral_score"))] if o.lateral else []))
+    scored = live.crossJoin(bounded(queries)).select("qid", "id", rounded(scan_score(o, now_ms)).alias("score"), rounded(similarity(o)).alias("similarity"), *([c.alias(n) for c, n in zip(lateral_score(o, now_ms), ("far", "lateral_score"))] if o.lateral else []))
     if not o.lateral:
         return top_k(scored.withColumn("aside", F.lit(False)), o.top_k, F.desc("score"), F.asc("id"))
     direct = top_k(scored.where(~F.col("far")).select("qid", "id", "score", "similarity", F.lit(False).alias("aside")), o.top_k, F.desc("score"), F.asc("id"))
@@ -158,6 +160,16 @@ def recall(memories: DataFrame, queries: DataFrame, o: RecallOptions, now_ms: in
     return top_k(direct.drop("rank").unionByName(aside.drop("rank")), o.top_k, F.desc("score"), F.asc("id"))
 
 
+def notify(hits: DataFrame, listeners: list[Callable[[DataFrame], None]]) -> DataFrame:
+    """Hand the hits of a recall to listeners, one after the other; a listener's failure doesn't concern the others."""
+    for listener in listeners:
+        try:
+            listener(hits)
+        except Exception as e:  # a hook must not break the recall
+            warnings.warn(f"recall listener failed: {e}", stacklevel=2)
+    return hits
+
+
 def breakdown(memories: DataFrame, queries: DataFrame, o: RecallOptions, now_ms: int) -> DataFrame:
     """Parts of every recalled record's score."""
     hits = recall(memories, queries, o, now_ms)

@@ -109,6 +109,20 @@ class EqualFrequency:
         return np.take_along_axis(self.centres.T, codes.astype(int), 0) if codes.ndim == 1 else np.stack([self.centres[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)
 
 
+def rotated_values(vectors: DataFrame, rotate: Callable[[np.ndarray], np.ndarray], size: int) -> DataFrame:
+    """(dim, x) of all vectors of `size` numbers after a map of matrices."""
+    ship_package(vectors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [v for v in batch.column(0).to_numpy(zero_copy_only=False) if v is not None and len(v) == size]
+            if rows:
+                made = rotate(np.stack(rows).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(made.shape[1], dtype=np.int32), len(made))), pa.array(made.reshape(-1))], ["dim", "x"])
+
+    return vectors.select("embedding").mapInArrow(run, "dim int, x double")
+
+
 def rotation(dims: int, seed: int = 17) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
@@ -129,6 +143,18 @@ class Turbo:
         low, high = unit.min(0) - 0.025 * span, unit.max(0) + 0.025 * span
         return cls(low, np.maximum((high - low) / (2**bits - 1), 1e-12), matrix, bits)
 
+    @classmethod
+    def fit_table(cls, vectors: DataFrame, bits: int = 4, seed: int = 17) -> Turbo:
+        """The range of each rotated dimension over all vectors (id, embedding)."""
+        first = vectors.select("embedding").where(F.col("embedding").isNotNull()).first()
+        size = len(first[0]) if first else 1
+        matrix = rotation(size, seed)
+        each = rotated_values(vectors, lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ matrix.T, size)
+        low, high = np.zeros(size), np.zeros(size)
+        for r in each.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect():  # one row a dimension
+            low[r.dim], high[r.dim] = r.low - 0.025 * (r.high - r.low), r.high + 0.025 * (r.high - r.low)
+        return cls(low, np.maximum((high - low) / (2**bits - 1), 1e-12), matrix, bits)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         norm = np.linalg.norm(x, axis=1)
         unit = x / np.maximum(norm, 1e-12)[:, None] @ self.matrix.T
@@ -168,6 +194,22 @@ class Standardised:
         levels = 2 ** (bits - 1) - 1
         return cls(signs, np.nanmean(kept, axis=0), np.maximum(clip * np.nanstd(kept, axis=0, ddof=1) / levels, 1e-12), levels)
 
+    @classmethod
+    def fit_table(cls, vectors: DataFrame, bits: int = 8, clip: float = 3.0, seed: int = 23) -> Standardised:
+        """The same moments over all vectors (id, embedding), by aggregation of each rotated dimension."""
+        first = vectors.select("embedding").where(F.col("embedding").isNotNull()).first()
+        size = len(first[0]) if first else 1
+        dims = 1 << (size - 1).bit_length()
+        signs = np.random.default_rng(seed).choice([-1.0, 1.0], dims)
+        each = rotated_values(vectors, lambda x: cls._rotate(x, signs), size)
+        ends = each.groupBy("dim").agg(F.percentile_approx("x", [0.001, 0.999], 10_000).alias("ends"))
+        kept = each.join(F.broadcast(ends), "dim").where(F.col("x").between(F.col("ends")[0], F.col("ends")[1]))  # one row a dimension
+        rows = kept.groupBy("dim").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("deviation")).collect()
+        mean, deviation, levels = np.zeros(dims), np.zeros(dims), 2 ** (bits - 1) - 1
+        for r in rows:
+            mean[r.dim], deviation[r.dim] = r["mean"], r.deviation
+        return cls(signs, mean, np.maximum(clip * deviation / levels, 1e-12), levels)
+
     @staticmethod
     def _rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(x), len(signs)))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions.providers import apply_model
 from larkspur.functions import vectors as V
+from larkspur.operators import batched as B
 
 #: Broadcast a side of this many rows at most; beyond it the optimizer chooses.
 MOST_BROADCAST = 100_000
@@ -22,6 +24,13 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df with a broadcast hint; a side that every row of a table meets must be a stated set of bounded size."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} rows; process larger sets in blocks")
+    return F.broadcast(df)
+
+
 def rounded(c: Column) -> Column:
     return F.round(c, DIGITS) + F.lit(0.0)
 
@@ -78,7 +87,9 @@ def bm25(
     df = tf.groupBy("part", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scored = tf.join(F.broadcast(df) if partition is None else df, ["part", "term"]).join(F.broadcast(stats), "part").join(asked, "term")
+    # without partitions there is one row of df a wanted term and one of stats
+    one = partition is None
+    scored = tf.join(F.broadcast(df) if one and few else df, ["part", "term"]).join(F.broadcast(stats) if one else stats, "part").join(asked, "term")
     total = scored.groupBy("qid", "id").agg(rounded(F.sum(weight * F.col("times"))).alias("score")).where(F.col("score") > 0)
     return top_k(total, k, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
 
@@ -109,13 +120,14 @@ class TextIndex:
         wanted = queries.select("qid", F.explode(self.analyzer(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
         # as many rows as the index has buckets, at most
         used = [r.bucket for r in wanted.select(self.bucket(F.col("term")).alias("bucket")).distinct().collect()]
-        words = small(wanted.select("term").distinct())
+        few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # one count serves all joins
+        words = F.broadcast(wanted.select("term").distinct()) if few else wanted.select("term").distinct()
         tf = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(used)).join(words, "term", "left_semi")
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         stats = self.spark.read.parquet(f"{self.path}/stats").select(F.col("n_docs").alias("n"), F.col("average_length").alias("average"))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-        scored = tf.join(F.broadcast(df), "term").join(small(wanted), "term").crossJoin(F.broadcast(stats))  # stats: one row
+        scored = tf.join(F.broadcast(df) if few else df, "term").join(F.broadcast(wanted) if few else wanted, "term").crossJoin(F.broadcast(stats))  # stats: one row
         total = scored.groupBy("qid", "id").agg(rounded(F.sum(weight * F.col("times"))).alias("score")).where(F.col("score") > 0)
         return top_k(total, k, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
 
@@ -141,14 +153,15 @@ METRICS = {"dot": (V.dot, False), "cosine": (V.cosine, False), "l2": (V.distance
 def similarities(vectors: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
     """(qid, id, score) of a stated query set against all vectors (id, embedding); queries are (qid, vector)."""
     function, _ = METRICS[metric]
-    return vectors.crossJoin(small(queries)).select("qid", "id", rounded(function(F.col("embedding"), F.col("vector"))).alias("score"))
+    return vectors.crossJoin(bounded(queries)).select("qid", "id", rounded(function(F.col("embedding"), F.col("vector"))).alias("score"))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """Exact nearest neighbours (qid, id, score, rank): one scan, the query set broadcast."""
+    """Exact nearest neighbours (qid, id, score, rank): one scan, the query set in every worker."""
     ascending = METRICS[metric][1]
     order = F.asc("score") if ascending else F.desc("score")
-    return top_k(similarities(vectors, queries, metric), k, order, F.asc("id"))
+    found = B.scan(vectors.select("id", "embedding"), queries, k, ascending, B.exact(metric))
+    return top_k(found.select("qid", "id", rounded(F.col("score")).alias("score")), k, order, F.asc("id"))
 
 
 def rescored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -243,6 +256,36 @@ def late_interaction(candidates: DataFrame, k: int, alpha: float = 0.7) -> DataF
     return top_k(mixed, k, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
 
 
+@dataclass(frozen=True)
+class TokenCache:
+    """Token vectors at rest by id and hash of the text; only texts that aren't there are encoded."""
+
+    spark: SparkSession
+    path: str
+    encoder: Callable[[list[str]], list]
+
+    def get(self, docs: DataFrame) -> DataFrame:
+        """(id, tokens, cached) of docs (id, text); what was missing is in the cache afterwards."""
+        schema = "id long, text_hash long, tokens array<array<float>>"
+        wanted = docs.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_hash"))
+        made = sorted(self._batches())
+        known = self.spark.read.schema(schema).parquet(*made) if made else self.spark.createDataFrame([], schema)
+        known = known.dropDuplicates(["id", "text_hash"])
+        missing = wanted.join(known.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
+        encoded = apply_model(missing.select("id", "text"), self.encoder, "tokens").where("error is null").join(missing.select("id", "text_hash"), "id")
+        fresh = f"{self.path}/batch-{len(made)}"
+        encoded.select("id", "text_hash", F.col("result").alias("tokens")).write.parquet(fresh)
+        both = known.withColumn("cached", F.lit(True)).unionByName(self.spark.read.schema(schema).parquet(fresh).withColumn("cached", F.lit(False)))
+        return wanted.select("id", "text_hash").join(both, ["id", "text_hash"]).select("id", "tokens", "cached")
+
+    def _batches(self) -> list[str]:
+        """Folders of earlier calls, through the file system that the path names."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [str(f.getPath()) for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
 def parse_ratings(answer: Column, n: int) -> Column:
     """Ratings 0 to 10 from a model's answer, one a line; -1 where a line has no number."""
     lines = F.filter(F.split(answer, r"\n"), lambda x: F.length(F.trim(x)) > 0)

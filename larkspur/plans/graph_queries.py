@@ -171,19 +171,19 @@ def g9_merge_entities(spark, sf_dir):
     return G.merge_entities(names(spark, sf_dir))
 
 
-@query(f"WITH {_STEPS}, m AS (SELECT DISTINCT event_id % 120 AS id, 'u' || CAST(user_id % 10 AS VARCHAR) AS entity FROM events WHERE event_id < 240) SELECT DISTINCT x.entity AS a, y.entity AS b FROM edges JOIN m x ON x.id = src JOIN m y ON y.id = dst WHERE weight >= 3 AND x.entity < y.entity")
+@query(f"WITH {_STEPS}, m AS (SELECT DISTINCT event_id % 120 AS id, 'u' || CAST(user_id % 10 AS VARCHAR) AS entity FROM events) SELECT DISTINCT x.entity AS a, y.entity AS b FROM edges JOIN m x ON x.id = src JOIN m y ON y.id = dst WHERE weight >= 3 AND x.entity < y.entity")
 def g11_promotion(spark, sf_dir):
-    m = table(spark, sf_dir, "events").where("event_id < 240").select((F.col("event_id") % 120).alias("id"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("entity")).distinct()
+    m = table(spark, sf_dir, "events").select((F.col("event_id") % 120).alias("id"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("entity")).distinct()
     return G.promote(links(spark, sf_dir), m)
 
 
 _LINKS = "lk AS (SELECT event_id AS id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events)"
 
 
-@query(f"WITH {_STEPS}, {_LINKS}, hits AS (SELECT event_id AS id, value / 100 AS score FROM events WHERE event_id < 30), c AS (SELECT dst AS cid, score * least(weight / 5, {dbl(1)}) * {dbl(0.3)} AS s, 'link' AS via FROM edges JOIN hits ON src = id UNION ALL SELECT next_id, score * {dbl(0.8)}, 'next' FROM lk JOIN hits USING (id) WHERE next_id IS NOT NULL UNION ALL SELECT lk.id, score * {dbl(0.7)}, 'previous' FROM lk JOIN hits ON hits.id = lk.next_id), b AS (SELECT cid, max((s, via)) AS b FROM c GROUP BY cid) SELECT cid AS id, {r6('b[1]')} AS score, b[2] AS via FROM b WHERE cid NOT IN (SELECT id FROM hits)")
+@query(f"WITH {_STEPS}, {_LINKS}, hits AS (SELECT event_id AS id, value / 100 AS score FROM events WHERE event_id % 50 = 0), c AS (SELECT dst AS cid, score * least(weight / 5, {dbl(1)}) * {dbl(0.3)} AS s, 'link' AS via FROM edges JOIN hits ON src = id UNION ALL SELECT next_id, score * {dbl(0.8)}, 'next' FROM lk JOIN hits USING (id) WHERE next_id IS NOT NULL UNION ALL SELECT lk.id, score * {dbl(0.7)}, 'previous' FROM lk JOIN hits ON hits.id = lk.next_id), b AS (SELECT cid, max((s, via)) AS b FROM c GROUP BY cid) SELECT cid AS id, {r6('b[1]')} AS score, b[2] AS via FROM b WHERE cid NOT IN (SELECT id FROM hits)")
 def r22_graph_candidates(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    hits = e.where("event_id < 30").select(F.col("event_id").alias("id"), (F.col("value") / 100).alias("score"))
+    hits = e.where("event_id % 50 = 0").select(F.col("event_id").alias("id"), (F.col("value") / 100).alias("score"))
     linked = G.chain(e, "user_id", ["ts", "event_id"], "event_id").select(F.col("event_id").alias("id"), "next_id")
     return G.expand(hits, links(spark, sf_dir), linked)
 

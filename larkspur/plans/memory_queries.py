@@ -392,9 +392,9 @@ def g16_promote_best(spark, sf_dir):
     return L.best_of(memories(spark, sf_dir).where("tier = 1 and not tombstoned and importance >= 1"), "user_id").select("user_id", "best", S.rounded(F.col("importance")).alias("importance"))
 
 
-@query(f"WITH {MEM}, r AS (SELECT *, {decay_sql(decay_bucket_sql())} AS d FROM mem) SELECT id, recalls + 1 AS recalls, {r6(f'least({dbl(5)}, strength + {dbl(0.1)} * (1 - d))')} AS strength, greatest(-128, least(127, CAST(floor(valence * {dbl(0.7)} + 50 * {dbl(0.3)} + {dbl(0.5)}) AS INTEGER))) AS valence FROM r WHERE id % 10 = 0")
+@query(f"WITH {MEM}, r AS (SELECT *, {decay_sql(decay_bucket_sql())} AS d FROM mem) SELECT id, recalls + 1 AS recalls, {r6(f'least({dbl(5)}, strength + {dbl(0.1)} * (1 - d))')} AS strength, greatest(-128, least(127, CAST(floor(valence * {dbl(0.7)} + 50 * {dbl(0.3)} + {dbl(0.5)}) AS INTEGER))) AS valence FROM r")
 def g18_reinforce(spark, sf_dir):
-    return L.reinforce(memories(spark, sf_dir).where("id % 10 = 0"), F.lit(50), NOW).select("id", "recalls", S.rounded(F.col("strength")).alias("strength"), "valence")
+    return L.reinforce(memories(spark, sf_dir), F.lit(50), NOW).select("id", "recalls", S.rounded(F.col("strength")).alias("strength"), "valence")
 
 
 @query(f"WITH {MEM} SELECT id, {r6(f'CASE WHEN k % 2 = 0 THEN (importance + {icnu_sql(True)}) / 2 ELSE importance * (1 + least({dbl(0.3)}, {dbl(0.05)} * recalls)) END')} AS importance FROM mem")
@@ -424,10 +424,10 @@ def g22_bulk_decay(spark, sf_dir):
     return L.bulk_decay(memories(spark, sf_dir), _LOW, 0.5).select("id", S.rounded(F.col("importance")).alias("importance"))
 
 
-@query(f"WITH {MEM}, s AS (SELECT id, embedding FROM mem WHERE tier = 2 AND id < 600), n AS (SELECT id AS new_id, embedding AS e FROM mem WHERE id < 60), p AS (SELECT new_id, id, {r6(l2_sql('embedding', 'e'))} AS d FROM n, s WHERE id <> new_id) SELECT new_id, id, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY d, id) AS r FROM p WHERE d <= 0.05) WHERE r = 1")
+@query(f"WITH {MEM}, s AS (SELECT id, embedding FROM mem WHERE tier = 2), n AS (SELECT id AS new_id, embedding AS e FROM mem WHERE id % 50 = 0), p AS (SELECT new_id, id, {r6(l2_sql('embedding', 'e'))} AS d FROM n, s WHERE id <> new_id) SELECT new_id, id, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY d, id) AS r FROM p WHERE d <= 0.05) WHERE r = 1")
 def g23_semantic_duplicates(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return L.semantic_duplicates(m.where("id < 60"), m.where("tier = 2 and id < 600"), 0.05)
+    return L.semantic_duplicates(m.where("id % 50 = 0"), m.where("tier = 2"), 0.05)
 
 
 @query(f"WITH {MEM}, p AS (SELECT id % 500 AS g, max(ts_ms) AS ts_ms, max(importance) AS importance, bit_or(mask) AS mask FROM mem GROUP BY id % 500) SELECT g, ts_ms, {r6('importance')} AS importance, mask FROM p")

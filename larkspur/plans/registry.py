@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from larkspur.plans import graph_queries, memory_queries, search_queries, source_queries, vector_queries  # noqa: F401
+    from larkspur.plans import graph_queries, memory_queries, part_queries, search_queries, source_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

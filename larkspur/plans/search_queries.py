@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
@@ -11,6 +9,7 @@ from larkspur.functions import vectors as V
 from larkspur.operators import search as S
 from larkspur.plans.registry import query
 from larkspur.plans.tables import dbl, documents, dot_sql, l2_sql, query_vectors, r6, table, terms_sql, vectors
+from larkspur.session import scratch_dir
 
 #: Query texts: words of the synthetic languages.
 TEXTS = [(0, "from heating erent rest tion"), (1, "para ciónue mente"), (2, "apache license version from"), (3, "sch von keit heit keit")]
@@ -58,7 +57,7 @@ def r1_bm25(spark, sf_dir):
 @query(f"WITH {bm25_sql()} {topk_sql('bm', 20)}")
 def r1_bm25_index(spark, sf_dir):
     """The same from postings at rest; building them is part of the query here."""
-    index = S.TextIndex.build(documents(spark, sf_dir), tempfile.mkdtemp(prefix="larkspur-index-"), 16)
+    index = S.TextIndex.build(documents(spark, sf_dir), scratch_dir(spark, "index"), 16)
     return index.search(query_texts(spark), 20)
 
 
@@ -101,12 +100,11 @@ def v14_batch_similarity(spark, sf_dir):
     return S.similarities(vectors(spark, sf_dir), query_vectors(spark, sf_dir, 3)).select("id", "score")
 
 
-_MANY = ", ".join(str(i) for i in range(0, 400, 10))
-
-
-@query(f"WITH {knn_cte('dot', _MANY)} {topk_sql('near', 5)}")
+@query(f"WITH {knn_cte('dot', 'SELECT vec_id FROM embeddings')} {topk_sql('near', 5)}")
 def v15_batched_search(spark, sf_dir):
-    return S.knn(vectors(spark, sf_dir), query_vectors(spark, sf_dir, *range(0, 400, 10)), 5, "dot")
+    """Every vector is a query, against all vectors, in one scan."""
+    v = vectors(spark, sf_dir)
+    return S.knn(v, v.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), 5, "dot")
 
 
 @query(f"""WITH {bm25_sql()}, {knn_cte('dot', '0, 1, 2, 3')},
@@ -315,7 +313,10 @@ def r30_late_interaction(spark, sf_dir):
     return S.late_interaction(hits.select("qid", "id", "score").join(tokens, "id").join(F.broadcast(asked), "qid"), 10)
 
 
-@query()
+_ANSWERS = "(VALUES (0, 1, 3.0), (0, 2, 9.0), (0, 3, 9.5), (0, 4, 0.0), (0, 5, 7.0), (2, 1, 8.0), (2, 2, 8.0), (2, 3, 8.0)) a(qid, rank, rating)"
+
+
+@query(f"WITH {bm25_sql()}, h AS ({topk_sql('bm', 5)}), x AS (SELECT h.qid, h.id, h.rank AS before, CAST(coalesce(a.rating, -1) AS DOUBLE) AS rating FROM h LEFT JOIN {_ANSWERS} USING (qid, rank)) {topk_sql('x', 5, 'rating DESC, before, id', columns='qid, id, rating, before')}")
 def r32_model_rerank(spark, sf_dir):
     hits = S.bm25(documents(spark, sf_dir), query_texts(spark), 5)
     answers = spark.createDataFrame([(0, "1: 3\n2: 9\n3: 9.5\n4: 0\n5: 7"), (1, "no idea"), (2, "8\n8\n8")], "qid long, answer string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import pandas as pd
@@ -15,15 +14,11 @@ from larkspur.operators import search as S
 from larkspur.plans.registry import query
 from larkspur.plans.tables import documents, memories, r6, table
 from larkspur.sources import readers as R
-from larkspur.session import ship_package
+from larkspur.session import scratch_dir, ship_package
 from larkspur.sources import stores as K
 from larkspur.streaming import streams as X
 
 
-def scratch(name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"larkspur-{name}-")
-
-
 @query("SELECT c_custkey AS id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' v2' ELSE '' END AS name FROM customer WHERE c_custkey % 10 <> 0")
 def s1_document_store(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
@@ -42,7 +37,7 @@ def s2_vector_store(spark, sf_dir):
 @query("SELECT count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings")
 def s4_sharded_store(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return K.write_sharded(v, scratch("shards"), 8).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return K.write_sharded(v, scratch_dir(spark, "shards"), 8).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 _MD = r"'# Report ' || CAST(doc_id AS VARCHAR) || chr(10) || 'See [the **site**](http://x.org) and ![img](a.png) `code`.' || chr(10) || '- item one' || chr(10) || '2. item two' || chr(10) || '> quoted ~~old~~' || chr(10) || '---' || chr(10) || lang"
@@ -113,11 +108,10 @@ def s14_injected_extractor(spark, sf_dir):
     return R.extract_with(spark.createDataFrame([("/a.png", bytearray(b"abc")), ("/b.wav", bytearray(b""))], "path string, content binary"), extractor)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) || '#attachment-' || CAST(i AS VARCHAR) AS id, doc_id AS parent_id, 'u' || CAST(i AS VARCHAR) AS uri, left(text, 10 + CAST(i AS INTEGER)) AS text FROM documents, (VALUES (0), (1)) t(i) WHERE doc_id < 20")
+@query("SELECT CAST(doc_id AS VARCHAR) || '#attachment-' || CAST(i AS VARCHAR) AS id, doc_id AS parent_id, 'u' || CAST(i AS VARCHAR) AS uri, text || CASE WHEN i = 1 THEN ' (copy)' ELSE '' END AS text FROM documents, (VALUES (0), (1)) t(i)")
 def s16_attachments(spark, sf_dir):
-    d = documents(spark, sf_dir).where("doc_id < 20")
-    a = F.array(*[F.struct(F.lit(f"u{i}").alias("uri"), F.substring("text", 1, 10 + i).alias("text")) for i in range(2)])
-    return R.expand_attachments(d.select(F.col("doc_id").alias("id"), a.alias("attachments")))
+    a = F.array(*[F.struct(F.lit(f"u{i}").alias("uri"), (F.concat("text", F.lit(" (copy)")) if i else F.col("text")).alias("text")) for i in range(2)])
+    return R.expand_attachments(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), a.alias("attachments")))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Tom & Co ' || event_type WHEN 1 THEN event_type || ' b' WHEN 2 THEN event_type ELSE 'plain ' || event_type END AS text FROM events")
@@ -132,7 +126,7 @@ def s17_structured_text(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def s19_snapshots(spark, sf_dir):
-    store = K.Snapshots(spark, scratch("snapshots"))
+    store = K.Snapshots(spark, scratch_dir(spark, "snapshots"))
     store.save("team", "before", table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     assert store.names("team") == ["before"]
     return store.restore("team", "before")
@@ -145,10 +139,9 @@ def s20_json_export(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('s1', 'a', 'b'), ('s1', 'b', 'c')) t(sessionId, id, next_id)")
 def s21_graph_import(spark, sf_dir):
-    folder = scratch("graph")
+    folder = scratch_dir(spark, "graph")
     for name, lines in {"hebbian_edges": ['{"memoryIdA": "a", "memoryIdB": "b", "coActivationCount": 2}'], "temporal_chains": ['{"sessionId": "s1", "orderedMemoryIds": ["a", "b", "c"]}', '{"sessionId": "s2", "orderedMemoryIds": ["d"]}']}.items():
-        with open(f"{folder}/{name}.jsonl", "w") as f:
-            f.write("\n".join(lines))
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/{name}.jsonl")
     return K.read_graph(spark, folder)["next"]
 
 
@@ -217,12 +210,12 @@ def p13_model_with_errors(spark, sf_dir):
     return P.apply_model(d, model).select("id", F.element_at("result", 1).cast("long").alias("first"), "error")
 
 
-@query("SELECT doc_id AS id, CAST(map_size AS INTEGER) AS terms FROM (SELECT doc_id, len(list_distinct(string_split(lower(left(text, 100)), ' '))) AS map_size FROM documents)")
+@query("SELECT doc_id AS id, CAST(map_size AS INTEGER) AS terms FROM (SELECT doc_id, len(list_distinct(string_split(lower(coalesce(text, '')), ' '))) AS map_size FROM documents)")
 def p2_sparse_model(spark, sf_dir):
     def model(texts):
         return [{w: 1.0 for w in t.lower().split(" ")} for t in texts]
 
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("text"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return P.apply_model(d, model, "sparse").select("id", F.size("result").alias("terms"))
 
 
@@ -235,14 +228,14 @@ def _stream(spark, sf_dir, name: str):
 
 @query()
 def x1_stream_chunks(spark, sf_dir):
-    out, state = scratch("chunks"), scratch("state")
+    out, state = scratch_dir(spark, "chunks"), scratch_dir(spark, "state")
     X.run_available(X.file_chunks(_stream(spark, sf_dir, "documents")), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), state)
     return spark.read.parquet(out).select("doc_id", "chunk_id", "start_char", "end_char")
 
 
 @query("WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM f) SELECT user_id, count(*) AS n, round(sum(value), 4) AS value, epoch_us(min(ts)) AS start_us FROM s GROUP BY user_id, s")
 def x4_stream_sessions(spark, sf_dir):
-    out, state = scratch("sessions"), scratch("state")
+    out, state = scratch_dir(spark, "sessions"), scratch_dir(spark, "state")
     e = _stream(spark, sf_dir, "events")
     X.run_available(X.session_counts(e), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), state, "complete")
     last = spark.read.parquet(out)
@@ -252,7 +245,7 @@ def x4_stream_sessions(spark, sf_dir):
 
 @query()
 def x5_stream_state(spark, sf_dir):
-    out, state = scratch("recalls"), scratch("state")
+    out, state = scratch_dir(spark, "recalls"), scratch_dir(spark, "state")
     e = _stream(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at_ms"))
     X.run_available(X.recall_state(e), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), state)
     return spark.read.parquet(out).groupBy("id").agg(F.max("auto_recalls").alias("auto_recalls"), F.count_if("inhibited").alias("inhibited"))
@@ -260,7 +253,7 @@ def x5_stream_state(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def x7_log_export(spark, sf_dir):
-    out, state = scratch("log"), scratch("state")
+    out, state = scratch_dir(spark, "log"), scratch_dir(spark, "state")
     X.export_log(_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), out, state)
     return spark.read.parquet(out).drop("batch")
 
@@ -269,7 +262,7 @@ def x7_log_export(spark, sf_dir):
 def x9_train_then_flush(spark, sf_dir):
     from larkspur.operators import ann
 
-    out, state, done = scratch("index"), scratch("state"), scratch("waiting")
+    out, state, done = scratch_dir(spark, "index"), scratch_dir(spark, "state"), scratch_dir(spark, "waiting")
     flush = lambda centres, df: df.select(F.col("id"), F.element_at(ann.nearest_cells(F.col("embedding"), centres, 1), 1).alias("cell")).write.mode("append").parquet(out)
     sink = X.TrainThenFlush(done, 256, lambda df: ann.kmeans(df, 4), flush)
     X.run_available(_stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), sink, state)

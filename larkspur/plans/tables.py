@@ -72,7 +72,7 @@ def _case(values: dict[str, object]) -> str:
     return "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
 
-MEM = f"""mem AS (
+MEM = f"""mem AS MATERIALIZED (
   SELECT event_id AS id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     epoch_us(ts) // 1000 - (event_id % 11) * {45 * M.DAY} + CASE WHEN event_id % 97 = 0 THEN {90 * M.DAY} ELSE 0 END AS ts_ms,
     {_case(VALENCES)} AS valence, CAST((event_id * 7) % 256 AS INTEGER) AS arousal,
@@ -97,11 +97,11 @@ def dbl(x: object) -> str:
 
 
 def dot_sql(a: str, b: str) -> str:
-    return f"list_sum([CAST(x AS DOUBLE) * CAST({b}[i] AS DOUBLE) FOR x, i IN {a}])"
+    return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
 def l2_sql(a: str, b: str) -> str:
-    return f"sqrt(list_sum([(CAST(x AS DOUBLE) - CAST({b}[i] AS DOUBLE)) * (CAST(x AS DOUBLE) - CAST({b}[i] AS DOUBLE)) FOR x, i IN {a}]))"
+    return f"list_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
 def terms_sql(x: str) -> str:

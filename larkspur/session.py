@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,20 @@ def get_spark(app: str = "larkspur", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate data below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, as in tests, a session in one process takes a temporary folder; a cluster is refused.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="larkspur-data-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, whatever their path is.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,6 +93,29 @@ def integrity(rows: DataFrame, key: str, owner: DataFrame, owner_key: str) -> Da
     return rows.join(owner.select(F.col(owner_key).alias(key)).distinct(), key, "left_anti")
 
 
+@dataclass(frozen=True)
+class Adapter:
+    """A table store behind two functions: save(df, name) and load(name)."""
+
+    save: Callable[[DataFrame, str], None]
+    load: Callable[[str], DataFrame]
+
+
+class Checkpoints:
+    """States by the last event they hold; the newest whole one counts."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def save(self, state: DataFrame, upto: int) -> None:
+        state.write.mode("overwrite").parquet(f"{self.root}/upto={upto}")
+
+    def last(self) -> tuple[DataFrame, int]:
+        every = self.spark.read.parquet(self.root)
+        upto = every.agg(F.max("upto")).first()[0]
+        return every.where(F.col("upto") == upto).drop("upto"), upto
+
+
 class Assets:
     """Bytes by name in a folder."""
 
