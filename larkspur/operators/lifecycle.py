@@ -22,7 +22,7 @@ def prune(memories: DataFrame, now_ms: int, threshold: float = 0.05) -> DataFram
 def compact(memories: DataFrame, ratio: float = 0.30, by: str = "tier") -> DataFrame:
     """Partitions with more than this share of tombstones are rewritten without them."""
     share = memories.groupBy(by).agg(F.avg(F.col("tombstoned").cast("int")).alias("share"))
-    return memories.join(F.broadcast(share), by).where((F.col("share") <= ratio) | ~F.col("tombstoned")).drop("share")
+    return memories.join(small(share), by).where((F.col("share") <= ratio) | ~F.col("tombstoned")).drop("share")
 
 
 def interference(memories: DataFrame, cluster: str, radius: float = 0.12, factor: float = 0.7, most: int = 20) -> DataFrame:

@@ -227,7 +227,7 @@ def pack_context(chunks: DataFrame, budget: int, tokens: Column | None = None, s
     return packed.select("qid", F.col("p.used").alias("tokens"), F.array_join("p.ids", ",").alias("sources"), F.array_join("p.texts", separator).alias("context"))
 
 
-def rag(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, budget: int = 4096, mode: str = "vector") -> DataFrame:
+def rag(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, budget: int = 4096, mode: str = "vector", tokens: Column | None = None) -> DataFrame:
     """Retrieval-augmented contexts: search, join documents (missing ones drop out), pack.
 
     queries: (qid, query, vector); queries over 2000 characters are refused by leaving them out.
@@ -241,7 +241,7 @@ def rag(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, bud
     else:
         hits = knn(vectors, asked.select("qid", "vector"), k, "cosine")
     found = docs.select(F.col("doc_id").alias("id"), "text").join(small(hits.select("qid", "id", "score")), "id")
-    return pack_context(found, budget)
+    return pack_context(found, budget, tokens)
 
 
 def max_sim(query_tokens: Column, doc_tokens: Column) -> Column:

@@ -104,7 +104,10 @@ def timing(spark, sf_dir):
     return G.timing_update(rows.where("next_id is not null").select(F.col("event_id").alias("at"), F.col("event_type").alias("src"), F.col("next_id").alias("dst"), "gap_ms"), tau_ms=3_600_000.0)
 
 
-@query()
+_TIMES = f"n0 AS (SELECT event_id AS t, event_type AS a, lead(event_type) OVER w AS b, (lead(epoch_us(ts)) OVER w - epoch_us(ts)) / {dbl(1000)} AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n1 AS (SELECT t, a AS src, b AS dst, {dbl(0.1)} * exp(-gap / {dbl(3600000)}) AS d FROM n0 WHERE b IS NOT NULL UNION ALL SELECT t, b, a, -{dbl(0.05)} * exp(-gap / {dbl(3600000)}) FROM n0 WHERE b IS NOT NULL), n2 AS (SELECT src, dst, list(d ORDER BY t, d) AS l FROM n1 WHERE src <> dst GROUP BY src, dst)"
+
+
+@query(f"WITH {_TIMES} SELECT src, dst, weight FROM (SELECT src, dst, round(list_reduce(list_prepend({dbl(0)}, l), lambda w, x: greatest({dbl(0)}, least({dbl(1)}, w + x))), 6) AS weight FROM n2) WHERE weight > 0")
 def g4_timing_links(spark, sf_dir):
     return timing(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
@@ -188,13 +191,26 @@ def r22_graph_candidates(spark, sf_dir):
     return G.expand(hits, links(spark, sf_dir), linked)
 
 
-@query()
+@query(f"WITH RECURSIVE {_STEPS}, walk AS (SELECT s AS start, s AS node, 0 AS depth FROM (VALUES (0::BIGINT), (1::BIGINT)) t(s) UNION SELECT start, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 2) SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node HAVING min(depth) > 0")
 def g26_ego_graph(spark, sf_dir):
     edges = links(spark, sf_dir).withColumn("relation", F.lit("LINK"))
     return G.traverse(edges, spark.createDataFrame([(0,), (1,)], "node long"), 2)
 
 
-@query()
+def _pipeline_sql() -> str:
+    from larkspur.operators import memory as R
+    from larkspur.plans.memory_queries import recall_sql
+
+    return f"""WITH {recall_sql(R.RecallOptions(top_k=40), 'id % 13 <> 0')}, {_STEPS}, {_LINKS},
+      words AS (SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM mem WHERE event_type = 'error' AND id % 13 <> 0) WHERE rank <= 40),
+      fu AS (SELECT id, round(sum({dbl(1)} / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM hits WHERE qid = 0 UNION ALL SELECT id, rank FROM words) GROUP BY id),
+      sc AS (SELECT id, round(score * ({dbl(1)} / (1 + (greatest(recalls, 1) - 1) * {dbl(0.2)})), 12) AS score FROM (SELECT * FROM fu ORDER BY score DESC, id LIMIT 20) JOIN mem USING (id)),
+      c AS (SELECT dst AS cid, score * least(weight / 5, {dbl(1)}) * {dbl(0.3)} AS s, 'link' AS via FROM edges JOIN sc ON src = id UNION ALL SELECT next_id, score * {dbl(0.8)}, 'next' FROM lk JOIN sc USING (id) WHERE next_id IS NOT NULL UNION ALL SELECT lk.id, score * {dbl(0.7)}, 'previous' FROM lk JOIN sc ON sc.id = lk.next_id),
+      b AS (SELECT cid, max((s, via)) AS b FROM c GROUP BY cid), more AS (SELECT cid AS id, {r6('b[1]')} AS score, b[2] AS via FROM b WHERE cid NOT IN (SELECT id FROM sc))
+      SELECT id, score, via FROM (SELECT id, score, 'scan' AS via FROM sc UNION ALL SELECT * FROM more) ORDER BY score DESC, id LIMIT 10"""
+
+
+@query(_pipeline_sql())
 def r23_recall_pipeline(spark, sf_dir):
     """Scan, keyword fusion, suppression, penalties, graph candidates and final cut in one plan."""
     from larkspur.operators import memory as R

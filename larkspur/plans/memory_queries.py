@@ -510,7 +510,11 @@ def r38_prompt_enrichment(spark, sf_dir):
     return top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("l")).select("qid", F.array_join(F.transform("l", lambda x: F.concat(F.lit("memory "), x["id"].cast("string"))), "; ").alias("block"))
 
 
-@query()
+@query(f"""WITH {MEM}, p AS (SELECT *, tombstoned OR (importance * {decay_sql(bucket_sql())} < 0.05 AND NOT pinned AND tier = 1) AS gone FROM mem), r AS (SELECT tier, avg(CAST(gone AS INTEGER)) AS ratio FROM p GROUP BY tier), k AS (SELECT p.* FROM p JOIN r USING (tier) WHERE ratio <= 0.3 OR NOT gone),
+ g AS (SELECT centroid, arg_max(id, (importance, -id)) AS best FROM k WHERE tier = 1 AND NOT gone GROUP BY centroid HAVING count(*) >= 5), m AS (SELECT k.id, k.centroid, k.ts_ms, k.importance, k.embedding, k.gone, CASE WHEN g.best = k.id THEN 2 ELSE k.tier END AS tier FROM k LEFT JOIN g USING (centroid)),
+ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY centroid ORDER BY importance DESC, id) AS rn FROM m WHERE tier = 1 AND NOT gone) WHERE rn <= 20),
+ q AS (SELECT CASE WHEN a.ts_ms < b.ts_ms OR (a.ts_ms = b.ts_ms AND a.id < b.id) THEN a.id ELSE b.id END AS id FROM c a JOIN c b ON a.centroid = b.centroid AND a.rn < b.rn WHERE {l2_sql('a.embedding', 'b.embedding')} <= 0.12), n AS (SELECT id, count(*) AS times FROM q GROUP BY id)
+ SELECT tier, gone AS tombstoned, count(*) AS n, {r6(f'sum(importance * pow({dbl(0.7)}, coalesce(times, 0)))')} AS importance FROM m LEFT JOIN n USING (id) GROUP BY tier, gone""")
 def g17_reflect_cycle(spark, sf_dir):
     return L.reflect(memories(spark, sf_dir), NOW).groupBy("tier", "tombstoned").agg(F.count("*").alias("n"), S.rounded(F.sum("importance")).alias("importance"))
 

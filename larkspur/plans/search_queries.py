@@ -280,17 +280,26 @@ def c13_vector_ops(spark, sf_dir):
 # --- contexts and reranking ---------------------------------------------------------------------------
 
 
-@query()
+def packed_sql(hits: str, budget: int) -> str:
+    """Greedy contexts of hits(qid, id, score), by recursion over each query's documents; needs WITH RECURSIVE."""
+    return f"""{hits}, ch AS (SELECT qid, id, text, CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS INTEGER) AS t, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM hit JOIN documents ON doc_id = id),
+     pk AS (SELECT DISTINCT qid, 0::BIGINT AS n, 0 AS used, []::VARCHAR[] AS texts, []::VARCHAR[] AS ids FROM ch
+       UNION ALL SELECT pk.qid, ch.n, CASE WHEN used + t <= {budget} THEN used + t ELSE used END, CASE WHEN used + t <= {budget} THEN list_append(texts, text) ELSE texts END, CASE WHEN used + t <= {budget} THEN list_append(ids, CAST(id AS VARCHAR)) ELSE ids END FROM pk JOIN ch ON ch.qid = pk.qid AND ch.n = pk.n + 1)
+    SELECT qid, used AS tokens, array_to_string(ids, ',') AS sources, array_to_string(texts, chr(10) || chr(10)) AS context FROM (SELECT *, max(n) OVER (PARTITION BY qid) AS last FROM pk) WHERE n = last"""
+
+
+@query("WITH RECURSIVE " + packed_sql(f"{bm25_sql()}, hit AS ({topk_sql('bm', 20)})", 1024))
 def r4_context_packing(spark, sf_dir):
     hits = S.bm25(documents(spark, sf_dir), query_texts(spark), 20)
     found = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").join(S.small(hits.select("qid", "id", "score")), "id")
-    return S.pack_context(found, 1024)
+    return S.pack_context(found, 1024, T.estimate_tokens(F.col("text")))
 
 
-@query()
+@query("WITH RECURSIVE " + packed_sql(f"""{bm25_sql()}, {knn_cte('dot', '0, 1, 2, 3')}, a AS ({topk_sql('bm', 50)}), b AS ({topk_sql('near', 50)}),
+ f AS (SELECT qid, id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM a UNION ALL SELECT qid, id, rank FROM b) GROUP BY qid, id), hit AS ({topk_sql('f', 5)})""", 2048))
 def r5_rag(spark, sf_dir):
     queries = query_texts(spark).join(query_vectors(spark, sf_dir, 0, 1, 2, 3), "qid")
-    return S.rag(documents(spark, sf_dir), vectors(spark, sf_dir), queries, 5, 2048, "hybrid")
+    return S.rag(documents(spark, sf_dir), vectors(spark, sf_dir), queries, 5, 2048, "hybrid", T.estimate_tokens(F.col("text")))
 
 
 def token_rows(spark, sf_dir):
