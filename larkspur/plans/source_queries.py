@@ -12,7 +12,7 @@ from larkspur.functions import providers as P
 from larkspur.functions import text as T
 from larkspur.operators import search as S
 from larkspur.plans.registry import query
-from larkspur.plans.tables import documents, memories, r6, table
+from larkspur.plans.tables import MEM, documents, memories, r6, table
 from larkspur.sources import readers as R
 from larkspur.session import scratch_dir, ship_package
 from larkspur.sources import stores as K
@@ -165,12 +165,28 @@ _chunker("c5_token_chunks_by_suffix", lambda t: C.token_chunks(t, 64, 8), "#chun
 _chunker("c6_streaming_chunks", C.streaming_chunks)
 
 
-@query()
+def _times(a: str, b: int) -> str:
+    """A product that wraps around at 64 bits."""
+    return f"((({a})::UHUGEINT * {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+_ODD = "9223372036854775808::UBIGINT"
+
+
+@query(f"""WITH {MEM}, t AS (SELECT DISTINCT unnest(tags) AS tag FROM mem),
+ h AS MATERIALIZED (SELECT tag, list_reduce(list_prepend({0xCBF29CE484222325}::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(lower(tag), '')]), lambda h, b: {_times('xor(h, b)', 0x100000001B3)}) AS a FROM t),
+ h2 AS MATERIALIZED (SELECT tag, a, xor(a, {0x9E3779B97F4A7C15}::UBIGINT) AS b FROM h),
+ f AS MATERIALIZED (SELECT tag, {_times('xor(a, a >> 33)', 0xFF51AFD7ED558CCD)} AS a, {_times('xor(b, b >> 33)', 0xFF51AFD7ED558CCD)} AS b FROM h2),
+ g AS MATERIALIZED (SELECT tag, {_times('xor(a, a >> 33)', 0xC4CEB9FE1A85EC53)} AS a, {_times('xor(b, b >> 33)', 0xC4CEB9FE1A85EC53)} AS b FROM f),
+ w AS MATERIALIZED (SELECT tag, CAST(xor(a, a >> 33) % 64 AS INTEGER) AS one, CAST((xor(b, b >> 33) | 1::UBIGINT) % 64 AS INTEGER) AS two FROM g),
+ m AS MATERIALIZED (SELECT tag, bit_or(CAST(pow(CAST(2 AS DOUBLE), (one + i * two) % 64) AS UBIGINT)) AS mask FROM w, (VALUES (0), (1), (2)) n(i) GROUP BY tag),
+ o AS (SELECT id, bit_or(mask) AS mask FROM (SELECT id, unnest(tags) AS tag FROM mem) JOIN m USING (tag) GROUP BY id)
+ SELECT id, CAST(CASE WHEN mask >= {_ODD} THEN mask::HUGEINT - 18446744073709551616::HUGEINT ELSE mask::HUGEINT END AS BIGINT) AS mask FROM o""")
 def c14_tag_masks(spark, sf_dir):
     return C.with_tag_masks(memories(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {MEM}, v AS (SELECT id, ((ts_ms - 1577836800000) << 22) | (1 << 12) | (id & 4095) AS v FROM mem) SELECT id, array_to_string([substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST((v >> (5 * i)) & 31 AS INTEGER) + 1, 1) FOR i IN range(12, -1, -1)], '') AS tsid FROM v")
 def c19_time_sorted_ids(spark, sf_dir):
     ship_package(spark)
 
@@ -181,7 +197,7 @@ def c19_time_sorted_ids(spark, sf_dir):
     return memories(spark, sf_dir).select("id", make("ts_ms", "id").alias("tsid"))
 
 
-@query()
+@query("WITH ring AS (SELECT s AS shard, ('0x' || left(md5('shard-' || CAST(s AS VARCHAR) || '-vnode-' || CAST(r AS VARCHAR)), 16))::UBIGINT AS p FROM range(8) a(s), range(150) b(r)), d AS (SELECT doc_id, ('0x' || left(md5(CAST(doc_id AS VARCHAR)), 16))::UBIGINT AS p FROM documents) SELECT doc_id, CAST(coalesce(r.shard, (SELECT arg_min(shard, p) FROM ring)) AS INTEGER) AS shard FROM d ASOF LEFT JOIN ring r ON d.p <= r.p")
 def c20_ring_shards(spark, sf_dir):
     ship_package(spark)
 
