@@ -14,13 +14,16 @@ equal ids are ordered by a hash of the text, then the text); after the last come
 is its own next. Rows are kept one for one.
 
 Order without one big task: quantiles of doc_id make buckets, each bucket's first row is also sent to the
-bucket before it, and every bucket is sorted and streamed on its own.
+bucket before it, and every bucket is sorted and streamed on its own. Rows that are equal in id and text can't
+be told apart and stay in one bucket. Very long texts are taken whole; an empty table gives no rows; other
+columns take no part.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_arrow
+from larkspur.llm.common import map_arrow, shard_slots
 
 #: Cells of the fingerprint that is written out; a multiple of 3.
 CELLS = 24
@@ -159,32 +162,45 @@ def parse_fingerprint(text: str) -> tuple[int, tuple[np.ndarray, np.ndarray, np.
 
 
 def with_next(df: DataFrame) -> DataFrame:
-    """Rows (bucket, tail, doc_id, text): sorted by descending doc_id in each bucket; tail rows only follow."""
+    """Rows (bucket, tail, doc_id, text): sorted by descending doc_id in each bucket; tail rows only follow.
+
+    Buckets are numbered in that order, and each has a task of its own. An id that is several quantiles (say null,
+    in a third of the rows) has buckets of its own by ranges of the text's hash.
+    """
+    from pyspark.ml.feature import Bucketizer
+
     spark = df.sparkSession
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = df.withColumn("order_id", order)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.select("order_id").approxQuantile("order_id", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    rows = df.withColumn("order_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("order_hash", F.xxhash64("text"))
+    bounds = sorted(Counter(rows.select("order_id").approxQuantile("order_id", [i / parts for i in range(1, parts)], 0.1 / parts)).items())
+    # by interval [bound, next bound): its smallest id, how often that is a quantile, the first bucket's number
+    least, times, start = [float("-inf"), *(b for b, _ in bounds)], [1, *(t for _, t in bounds)], [0] * (len(bounds) + 1)
+    for j in range(len(bounds), 0, -1):
+        start[j - 1] = start[j] + 1 + times[j] * (times[j] > 1)
+    rows = rows.withColumn("order_double", F.col("order_id").cast("double"))
     if bounds:
-        from pyspark.ml.feature import Bucketizer
-
-        cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="order_double", outputCol="bucket_double", handleInvalid="keep")
-        rows = cut.transform(rows.withColumn("order_double", F.col("order_id").cast("double"))).withColumn("bucket", F.col("bucket_double").cast("int")).drop("order_double", "bucket_double")
+        rows = Bucketizer(splits=[*least, float("inf")], inputCol="order_double", outputCol="interval", handleInvalid="keep").transform(rows)
     else:
-        rows = rows.withColumn("bucket", F.lit(0))
-    # one row a bucket: as many as there are shuffle partitions
-    tops = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max("order_id").alias("top")).collect()}
-    names = sorted(tops)
-    # the largest of a bucket follows the smallest of the bucket above, the largest of all the smallest of all
-    follows = spark.createDataFrame([(b, tops[b], names[(i + 1) % len(names)]) for i, b in enumerate(names)] or [(0, 0, 0)], "bucket int, order_id long, to_bucket int")
-    rows = rows.join(F.broadcast(follows), ["bucket", "order_id"], "left")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
-    follow = F.struct(F.col("to_bucket").alias("bucket"), F.lit(True).alias("tail"))
-    sent = rows.withColumn("to", F.explode(F.filter(F.array(own, follow), lambda x: x["bucket"].isNotNull())))
+        rows = rows.withColumn("interval", F.lit(0))
+    of = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), F.col("interval").cast("int") + 1)
+    place = F.shiftrightunsigned(F.col("order_hash").bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)
+    own = F.when((of(times, "int") > 1) & (F.col("order_double") == of(least, "double")), 1 + F.floor(place * of(times, "int")).cast("int")).otherwise(F.lit(0))
+    rows = rows.withColumn("bucket", of(start, "int") + own).select("bucket", "doc_id", "order_id", "order_hash", "text")
+    # the first row of each bucket; there are at most twice as many buckets as shuffle partitions
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("order_id", F.bitwise_not("order_hash").alias("h"))).alias("k"))
+    tops = tops.select("bucket", "k.order_id", F.bitwise_not("k.h").alias("order_hash")).collect()
+    names = sorted(r.bucket for r in tops) or [0]
+    before = {b: names[i - 1] for i, b in enumerate(names)}
+    slots = dict(zip(names, shard_slots(spark, len(names))))
+    # it follows the bucket before; the first of all follows the last of all
+    follows = spark.createDataFrame([(*r, before[r.bucket]) for r in tops], "bucket int, order_id long, order_hash long, to_bucket int")
+    tails = rows.join(F.broadcast(follows), ["bucket", "order_id", "order_hash"]).dropDuplicates(["bucket"])
+    sent = rows.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("bucket", F.col("to_bucket")).drop("to_bucket").withColumn("tail", F.lit(True)))
+    table = F.lit([slots.get(b, 0) for b in range(names[-1] + 1)]).cast("array<int>")
     return (
-        sent.select("to.bucket", "to.tail", "doc_id", "order_id", "text")
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "tail", F.desc("order_id"), F.xxhash64("text"), "text")
+        sent.withColumn("slot", F.element_at(table, F.col("bucket") + 1))
+        .repartition(len(names), "slot")
+        .sortWithinPartitions("tail", F.desc("order_id"), "order_hash", "text")
         .select("bucket", "tail", "doc_id", "text")
     )
 

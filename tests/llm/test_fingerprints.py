@@ -60,3 +60,38 @@ def test_repeated_ids_null_ids_one_row_and_no_row(spark):
     one = fp.fingerprints(fixtures.frame(spark, [(3, "abcdef")])).collect()
     assert one[0].edited == "abcdab" and one[0].near_next == 1.0
     assert fp.fingerprints(fixtures.frame(spark, [(3, "x")]).where("false")).count() == 0
+
+
+def by_order(rows):
+    """(id, text, next text) in descending id; ties by Spark's hash aren't known here, so ids are distinct or texts equal."""
+    made = sorted(((-(2**63) if i is None else i), t or "") for i, t in rows)[::-1]
+    return [(i, t, made[(k + 1) % len(made)][1]) for k, (i, t) in enumerate(made)]
+
+
+@pytest.mark.parametrize("parts", ["3", "16"])
+def test_order_over_buckets(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = [(7 * i - 300, f"text {i} " * (i % 40 + 1)) for i in range(200)] + [(None, "long " * 40_000)]
+        got = {(r.doc_id, r.n_chars, r.edited) for r in fp.fingerprints(fixtures.frame(spark, rows)).collect()}
+        assert got == {(None if i == -(2**63) else i, len(t), fp.edit(t, n)) for i, t, n in by_order(rows)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_hot_id_is_split(spark):
+    """A third of the rows without an id: several buckets, each row once, and the chain goes through all of them."""
+    rows = [(i, f"row {i}") for i in range(200)] + [(None, f"no id {i}") for i in range(100)]
+    df = fixtures.frame(spark, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        dealt = fp.with_next(df.select("doc_id", "text")).collect()
+        own = [r for r in dealt if not r.tail]
+        assert len(own) == 300 and len({r.bucket for r in own if r.doc_id is None}) >= 3
+        assert len({r.bucket for r in dealt if r.tail}) == len({r.bucket for r in own})
+        out = fp.fingerprints(df).collect()
+        assert sorted((str(r.doc_id), r.n_chars) for r in out) == sorted((str(i), len(t)) for i, t in rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
