@@ -30,12 +30,15 @@ def worker_cache() -> dict:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, as a local path that every executor sees.
 
-    The setting is read from the session's context and is only set here when nobody set it (tests).
+    The setting is read from the session's context. Where it is unset, as in tests, a session in one process takes a
+    temporary folder; a cluster is refused.
     Files that workers map into memory need a mounted file system, so another scheme is refused.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = worker_cache().setdefault("own_checkpoint_dir", tempfile.mkdtemp(prefix="larkspur-shared-"))
     if base.startswith("file:"):
         base = "/" + base[5:].lstrip("/")
