@@ -16,7 +16,7 @@ only, or none, every score is that class's share (0.5 without labels).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from larkspur.llm.common import map_arrow, text_chunks, texts_of, worker_cache
+from larkspur.llm.common import map_arrow, save_table, text_chunks, texts_of, worker_cache
 
 BITS = 18
 #: Bound of the labelled rows that the fit reads.
@@ -108,13 +108,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(*features(texts), len(texts)) + self.offset, -30, 30)))
 
 
-def log_count_ratio(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    p = 1 + np.bincount(bucket[y[doc] > 0], minlength=1 << BITS)
-    q = 1 + np.bincount(bucket[y[doc] < 0], minlength=1 << BITS)
+def log_count_ratio(docs: list[np.ndarray], y: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Row by row, since the indicators of all rows at once would be several copies of them."""
+    counts = np.ones((2, 1 << BITS))
+    for i in np.flatnonzero(keep):
+        counts[int(y[i] < 0), docs[i]] += 1
+    p, q = counts
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+class Scaled:
+    """Rows (buckets, values) of length 1, made when they are asked for."""
+
+    def __init__(self, docs: list[np.ndarray], ratio: np.ndarray):
+        self.docs, self.ratio = docs, ratio
+        self.length = np.array([max(float(np.sqrt(v @ v)), 1e-9) for v in (ratio[d] for d in docs)])
+
+    def __len__(self) -> int:
+        return len(self.docs)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i >= len(self.docs):
+            raise IndexError
+        return self.docs[i], self.ratio[self.docs[i]] / self.length[i]
+
+
+def dual_descent(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of min |w|^2/2 + sum of cost * hinge; rows are (buckets, values) of length 1."""
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     order, random = np.arange(len(rows)), np.random.default_rng(seed)
@@ -157,17 +176,12 @@ def fit(docs: list[np.ndarray], y: np.ndarray, cost: float = 1.0, natural: float
     nothing = np.zeros(1 << BITS, np.float32)
     if not len(y) or (y > 0).all() or (y < 0).all():
         return Model(nothing, nothing, 0.0, 1.0, 0.0, float((y > 0).mean()) if len(y) else 0.5)
-    doc, bucket = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
 
     def train(keep: np.ndarray):
-        ratio = log_count_ratio(doc[keep[doc]], bucket[keep[doc]], y)
-        rows = []
-        for d in docs:
-            v = ratio[d]
-            rows.append((d, v / max(float(np.sqrt(v @ v)), 1e-9)))
-        chosen = np.flatnonzero(keep)
+        ratio = log_count_ratio(docs, y, keep)
+        rows, chosen = Scaled(docs, ratio), np.flatnonzero(keep)
         share = np.where(y > 0, (y[keep] > 0).mean(), (y[keep] < 0).mean())
-        w, bias = dual_descent([rows[i] for i in chosen], y[chosen], (cost * 0.5 / np.maximum(share, 1e-9))[chosen])
+        w, bias = dual_descent(Scaled([docs[i] for i in chosen], ratio), y[chosen], (cost * 0.5 / np.maximum(share, 1e-9))[chosen])
         return ratio, w, bias, rows
 
     fold = np.arange(len(y)) % 4 == 0
@@ -190,8 +204,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     """Fit on a bounded sample of rows (doc_id, text) joined with labels (doc_id, quality)."""
     spark = docs.sparkSession
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # labels teach where a document has them; the share of each class among all such rows
-    number = {r.quality: r["count"] for r in docs.select(F.col("doc_id")).join(chosen, "doc_id").groupBy("quality").count().collect()}
+    # labels teach where a document has them, so those of absent documents take no room
+    chosen = save_table(chosen.join(docs.select("doc_id"), "doc_id", "left_semi"), "taught-labels")
+    number = {r.quality: r["count"] for r in chosen.groupBy("quality").count().collect()}
     natural = number.get(1, 0) / max(1, sum(number.values()))
     rank = F.xxhash64("doc_id")
     # two bounded reads of ids and labels, no texts
@@ -210,22 +225,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     rows = rows.combine_chunks().sort_by("doc_id")
     lists = rows["buckets"].combine_chunks()
     values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) if len(lists) else np.zeros(1, np.int64)
-    y = np.where(rows["quality"].to_numpy() > 0, 1, -1)
-    order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in rows["doc_id"].to_pylist()], kind="stable") if len(y) else np.zeros(0, np.int64)
-    return fit([values[offsets[i] : offsets[i + 1]] for i in order], y[order], natural=natural)
+    y, ids = np.where(rows["quality"].to_numpy() > 0, 1, -1), rows["doc_id"].to_pylist()
+    del rows, lists
+    order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in ids], kind="stable") if len(y) else np.zeros(0, np.int64)
+    model = fit([values[offsets[i] : offsets[i + 1]] for i in order], y[order], natural=natural)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) with the model's score; other columns are kept."""
+def score_quality(docs: DataFrame, model: Model, name: str = "larkspur_score") -> DataFrame:
+    """docs (doc_id, text) with the model's score; other columns are kept, but for one of the score's name."""
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 x 4 bytes for each of 2**BITS buckets: 2 MB
     names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("larkspur_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in text_chunks(batch, names[at], 2 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.score(texts_of(data, off)))], [*names, "larkspur_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.score(texts_of(data, off)))], [*names, name])
 
     return map_arrow(docs, run, schema)
 

@@ -80,3 +80,76 @@ def test_one_class_none_and_no_rows(spark):
     assert none.constant == 0.5
     scored = q.score_quality(docs, none)
     assert scored.columns == [*docs.columns, "larkspur_score"] and scored.where("false").count() == 0
+
+
+def plain_model(texts, y):
+    """NBSVM from dictionaries and a dense solve: string n-grams, Counter ratios, hinge dual by full passes to convergence."""
+    import re
+    from collections import Counter
+
+    def grams(text):
+        w = text.split()
+        forms = []
+        for i, x in enumerate(w):
+            head, core, tail = re.match(r"^([^0-9A-Za-z\x80-￿]*)(.*?)([^0-9A-Za-z\x80-￿]*)$", x, re.S).groups()
+            kind = "-" if not core else "9" if core.isdigit() else "x" if core.islower() else "X" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() and core[1:].islower() else "m"
+            forms.append((head[:3] + kind + tail[:3], i > 0 and x.lower() == w[i - 1].lower()))
+        low = [x.lower() for x in w]
+        return {("w", a) for a in low} | {("ww", *p) for p in zip(low, low[1:])} | {("f", a) for a in forms} | {("ff", *p) for p in zip(forms, forms[1:])} | {("fff", *p) for p in zip(forms, forms[1:], forms[2:])} | ({"empty"} if not w else set())
+
+    sets, room = [grams(t) for t in texts], 1 << q.BITS
+    names = {g: i for i, g in enumerate(sorted(set().union(*sets), key=str))}
+
+    def train(keep):
+        good, bad = Counter(g for i in keep if y[i] > 0 for g in sets[i]), Counter(g for i in keep if y[i] < 0 for g in sets[i])
+        total = [room + sum(c.values()) for c in (good, bad)]
+        x = np.zeros((len(texts), len(names) + 1))
+        for i, s in enumerate(sets):
+            for g in s:
+                x[i, names[g]] = np.log((1 + good[g]) / total[0]) - np.log((1 + bad[g]) / total[1])
+            x[i] /= max(np.linalg.norm(x[i]), 1e-9)
+        x[:, -1] = 1
+        share = {1: np.mean(y[keep] > 0), -1: np.mean(y[keep] < 0)}
+        cost, alpha, gram = np.array([0.5 / share[k] for k in y[keep]]), np.zeros(len(keep)), x[keep] @ x[keep].T
+        for _ in range(400):
+            for j in range(len(keep)):
+                g = y[keep[j]] * (gram[j] @ (alpha * y[keep])) - 1
+                alpha[j] = min(max(alpha[j] - g / gram[j, j], 0), cost[j])
+        return x @ (x[keep].T @ (alpha * y[keep]))
+
+    every, fold = np.arange(len(y)), np.arange(len(y)) % 4 == 0
+    left_out = train(every[~fold])[fold]
+    a, b, t = 1.0, 0.0, y[fold] > 0
+    for _ in range(50):  # Newton steps of the logistic curve with the ridge that the docstring of logistic names
+        p = 1 / (1 + np.exp(-(a * left_out + b)))
+        x = np.stack([left_out, np.ones(len(p))])
+        a, b = np.array([a, b]) - np.linalg.solve((x * p * (1 - p)) @ x.T + 0.01 * np.eye(2), x @ (p - t) + 0.01 * np.array([a, b]))
+    return 1 / (1 + np.exp(-(a * train(every) + b)))
+
+
+def test_scores_equal_a_plain_model():
+    """Classes that overlap, so that scores are spread between 0 and 1."""
+    r = random.Random(9)
+    word = lambda: r.choice("alpha beta gamma delta epsilon Zeta ETA theta, iota. 42 x1 --".split())
+    y = np.array([1 if r.random() < 0.7 else -1 for _ in range(160)])
+    texts = ["" if i == 5 else " ".join(["good" if (k > 0) == (r.random() < 0.75) else "poor", *(word() for _ in range(r.randrange(1, 9)))]) for i, k in enumerate(y)]
+    raw = [t.encode() for t in texts]
+    docs = [q.features([t])[1] for t in raw]
+    got, want = q.fit(docs, y).score(raw), plain_model(texts, y)
+    assert np.abs(got - want).max() < 0.03 and want.std() > 0.1
+
+
+def test_labels_of_absent_documents_take_no_room(spark):
+    rows, labels = corpus(120)
+    docs = fixtures.frame(spark, rows)
+    absent = [(10_000 + i, i % 2, 0) for i in range(3000)]
+    marks = lambda x: spark.createDataFrame([(i, k) for i, k, _ in x], "doc_id long, quality int")
+    a, b = q.fit_quality(docs, marks(labels), 60), q.fit_quality(docs, marks([*labels, *absent]), 60)
+    assert (a.weights == b.weights).all() and a.offset == b.offset
+
+
+def test_clashing_score_and_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 100_000, 5.0), (None, None, None)], "doc_id long, text string, larkspur_score double")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    out = q.score_quality(docs, q.fit_quality(docs.select("doc_id", "text"), labels))
+    assert out.columns == ["doc_id", "text", "larkspur_score"] and [r.larkspur_score for r in out.collect()] == [1.0, 1.0]
