@@ -25,15 +25,21 @@ def compact(memories: DataFrame, ratio: float = 0.30, by: str = "tier") -> DataF
     return memories.join(small(share), by).where((F.col("share") <= ratio) | ~F.col("tombstoned")).drop("share")
 
 
+def close_pairs(memories: DataFrame, cluster: str, radius: float, most: int = 20) -> DataFrame:
+    """(c, a, b, ts_a, ts_b, distance) of each cluster's `most` important live episodic records within the radius."""
+    top = top_k(memories.where((F.col("tier") == EPISODIC) & ~F.col("tombstoned")), most, F.desc("importance"), F.asc("id"), by=cluster)
+    side = lambda x: top.select(F.col(cluster).alias("c"), F.col("id").alias(x), F.col("ts_ms").alias(f"ts_{x}"), F.col("embedding").alias(f"e_{x}"), F.col("rank").alias(f"rank_{x}"))
+    pairs = side("a").join(side("b"), "c").where("rank_a < rank_b").withColumn("distance", V.distance(F.col("e_a"), F.col("e_b")))
+    return pairs.where(F.col("distance") <= radius).select("c", "a", "b", "ts_a", "ts_b", "distance")
+
+
 def interference(memories: DataFrame, cluster: str, radius: float = 0.12, factor: float = 0.7, most: int = 20) -> DataFrame:
     """Close records of a cluster weaken each other: the older of each pair loses importance.
 
     Each cluster's `most` important live episodic records take part, which bounds the pairs.
     """
-    top = top_k(memories.where((F.col("tier") == EPISODIC) & ~F.col("tombstoned")), most, F.desc("importance"), F.asc("id"), by=cluster).select(F.col(cluster).alias("c"), "id", "ts_ms", "embedding", "rank")
-    a, b = top.alias("a"), top.alias("b")
-    close = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.rank") < F.col("b.rank"))).where(V.distance(F.col("a.embedding"), F.col("b.embedding")) <= radius)
-    older = F.when((F.col("a.ts_ms") < F.col("b.ts_ms")) | ((F.col("a.ts_ms") == F.col("b.ts_ms")) & (F.col("a.id") < F.col("b.id"))), F.col("a.id")).otherwise(F.col("b.id"))
+    close = close_pairs(memories, cluster, radius, most)
+    older = F.when((F.col("ts_a") < F.col("ts_b")) | ((F.col("ts_a") == F.col("ts_b")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
     times = close.select(older.alias("id")).groupBy("id").agg(F.count("*").alias("times"))
     return memories.join(times, "id", "left").withColumn("importance", F.col("importance") * F.pow(F.lit(factor), F.coalesce("times", F.lit(0)))).drop("times")
 

@@ -10,9 +10,12 @@ from larkspur.functions import memory as M
 from larkspur.functions import providers as P
 from larkspur.functions import text as T
 from larkspur.operators import ann
+from larkspur.operators import graph as G
+from larkspur.operators import lifecycle as L
 from larkspur.operators import memory as R
 from larkspur.operators import quantize as Q
 from larkspur.operators import search as S
+from larkspur.plans.graph_queries import _STEPS, _TIMES, links, timing
 from larkspur.plans.memory_queries import Q2, recall_sql
 from larkspur.plans.memory_queries import asked as recall_asked
 from larkspur.plans.registry import query
@@ -358,3 +361,80 @@ def x8_checkpoints(spark, sf_dir):
     keeper.save(log.where(F.col("event_id") <= half), half)
     base, upto = keeper.last()
     return base.unionByName(log.where(F.col("event_id") > upto)).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+# joins of graphs, sessions, replicas and logs
+
+
+@query(f"WITH RECURSIVE {_STEPS}, walk AS (SELECT s AS start, s AS node, 0 AS depth FROM (SELECT DISTINCT event_id % 120 AS s FROM events WHERE event_id % 50 = 0) UNION SELECT start, dst, depth + 1 FROM walk JOIN edges ON src = node AND weight >= 2 WHERE depth < 2) SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node HAVING min(depth) > 0")
+def j9_seeds_with_edges(spark, sf_dir):
+    seeds = table(spark, sf_dir, "events").where("event_id % 50 = 0").select((F.col("event_id") % 120).alias("node")).distinct()
+    strong = links(spark, sf_dir).where("weight >= 2").withColumn("relation", F.lit("LINK"))
+    return G.traverse(strong, seeds, 2)
+
+
+@query(f"WITH {_STEPS}, m AS (SELECT DISTINCT event_id % 120 AS id, event_type AS entity FROM events) SELECT x.entity AS a, y.entity AS b, count(*) AS n, sum(weight) AS weight FROM edges JOIN m x ON x.id = src JOIN m y ON y.id = dst GROUP BY ALL")
+def j10_entities_over_links(spark, sf_dir):
+    m = table(spark, sf_dir, "events").select((F.col("event_id") % 120).alias("id"), F.col("event_type").alias("entity")).distinct()
+    both = links(spark, sf_dir).join(m.select(F.col("id").alias("src"), F.col("entity").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("entity").alias("b")), "dst")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query(f"WITH {MEM}, c AS (SELECT * FROM (SELECT id, user_id, embedding, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rn FROM mem WHERE tier = 1 AND NOT tombstoned) WHERE rn <= 20) SELECT a.user_id, a.id AS a, b.id AS b, {r6(l2_sql('a.embedding', 'b.embedding'))} AS distance FROM c a JOIN c b ON a.user_id = b.user_id AND a.rn < b.rn WHERE {l2_sql('a.embedding', 'b.embedding')} <= 1.2")
+def j11_close_pairs_in_clusters(spark, sf_dir):
+    return L.close_pairs(memories(spark, sf_dir), "user_id", 1.2, 20).select(F.col("c").alias("user_id"), "a", "b", S.rounded(F.col("distance")).alias("distance"))
+
+
+@query(f"WITH s AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 50 <> 0), n AS (SELECT vec_id AS new_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT new_id, id, {r6(l2_sql('embedding', 'e'))} AS distance FROM n, s) SELECT new_id, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY distance, id) AS r FROM p WHERE distance <= 1.2) WHERE r = 1")
+def j13_new_with_stored(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return L.semantic_duplicates(v.where("id % 50 = 0"), v.where("id % 50 <> 0"), 1.2)
+
+
+@query("SELECT conv_id, turn, previous, length(text) - length(coalesce(before, '')) AS longer FROM (SELECT conv_id, turn, text, lag(turn) OVER w AS previous, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE previous IS NOT NULL")
+def j14_previous_in_session(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    linked = G.chain(c, "conv_id", ["turn"], "turn").where("prev_id is not null")
+    before = c.select("conv_id", F.col("turn").alias("prev_id"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return linked.join(before, ["conv_id", "prev_id"]).select("conv_id", "turn", F.col("prev_id").alias("previous"), (F.length("text") - F.col("n")).cast("long").alias("longer"))
+
+
+@query("WITH r AS (SELECT source AS qid, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), q AS (SELECT source AS qid, doc_id AS id, quality AS grade FROM labels JOIN documents USING (doc_id)) SELECT qid, id, CAST(rank AS INTEGER) AS rank, grade FROM r LEFT JOIN q USING (qid, id) WHERE rank <= 10")
+def j15_results_with_judgements(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    ranked = S.top_k(d.select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), "n_chars"), 10, F.desc("n_chars"), F.asc("id")).select("qid", "id", "rank")
+    judged = table(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), F.col("quality").alias("grade"))
+    return ranked.join(judged, ["qid", "id"], "left").select("qid", "id", "rank", "grade")
+
+
+@query(f"WITH {MEM}, a AS (SELECT id, ts_ms FROM mem WHERE id % 3 <> 0), b AS (SELECT id, ts_ms + (id % 5 - 2) * 1000 AS ts_ms FROM mem WHERE id % 3 <> 1) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'remote only' WHEN b.id IS NULL THEN 'local only' WHEN b.ts_ms > a.ts_ms THEN 'remote newer' WHEN b.ts_ms < a.ts_ms THEN 'local newer' ELSE 'same' END AS state FROM a FULL JOIN b ON a.id = b.id")
+def j17_local_with_remote(spark, sf_dir):
+    m = memories(spark, sf_dir).select("id", "ts_ms")
+    a = m.where("id % 3 <> 0").withColumnRenamed("ts_ms", "local")
+    b = m.where("id % 3 <> 1").select("id", (F.col("ts_ms") + (F.col("id") % 5 - 2) * 1000).alias("remote"))
+    newer = F.when(F.col("local").isNull(), "remote only").when(F.col("remote").isNull(), "local only").when(F.col("remote") > F.col("local"), "remote newer").when(F.col("remote") < F.col("local"), "local newer").otherwise("same")
+    return a.join(b, "id", "full_outer").select("id", newer.alias("state"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE epoch_us(ts) // 1000 <= 1705363200000) WHERE r = 1")
+def j18_latest_event_until(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where(F.expr("unix_micros(cast(ts as timestamp)) div 1000") <= 1_705_363_200_000)
+    last = e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e"))
+    return last.select("user_id", "e.event_id", "e.event_type")
+
+
+@query(f"WITH {_TIMES}, w AS (SELECT src, dst, list_reduce(list_prepend({dbl(0)}, l), lambda w, x: greatest({dbl(0)}, least({dbl(1)}, w + x))) AS weight FROM n2) SELECT event_id AS id, {r6(f'1 + {dbl(0.3)} * coalesce(max(weight), 0)')} AS boost FROM events LEFT JOIN w ON dst = event_type AND src IN ('click', 'view') AND weight > 0 GROUP BY event_id")
+def r19_predictive_boost(spark, sf_dir):
+    """Results whose tags usually follow the query's tags gain by the strongest such link."""
+    results = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("tag"))
+    asked_tags = spark.createDataFrame([("click",), ("view",)], "tag string")
+    found = G.predictive_strength(timing(spark, sf_dir), asked_tags, results)
+    return results.join(found, "id", "left").select("id", S.rounded(1 + 0.3 * F.coalesce("strongest", F.lit(0.0))).alias("boost"))
+
+
+@query("WITH t AS (SELECT event_id % 40 AS id, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER (PARTITION BY event_id % 40 ORDER BY ts, event_id) AS ms_before FROM events) SELECT id, count(*) AS n, CAST(count(*) FILTER (ms_before IS NULL OR ms - ms_before > 1800000) AS BIGINT) AS fresh FROM t GROUP BY id")
+def x6_expiring_state(spark, sf_dir):
+    """How often a key's state had expired after half an hour without events, or was new."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("id"), "ts", "event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("at"))
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy("id").orderBy("ts", "event_id"))
+    return e.withColumn("gap", gap).groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("gap").isNull() | (F.col("gap") > 1_800_000)).alias("fresh"))
