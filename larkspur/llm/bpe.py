@@ -113,7 +113,7 @@ class ForcedBoundaryCodec:
 
 
 def codec(path: str) -> ForcedBoundaryCodec:
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if ("codec", path) not in cache:
         import os
 

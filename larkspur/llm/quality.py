@@ -61,7 +61,7 @@ class Words(dict):
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every distinct indicator, sorted by document."""
-    words = worker_cache().setdefault("quality_words", Words())
+    words = worker_cache("quality").setdefault("quality_words", Words())
     lists = [t.split() for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     total = int(sizes.sum())
