@@ -43,12 +43,43 @@ END = b"\n"  # no word holds it
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 #: n-grams that a counting task holds before it packs them.
 MOST_HELD = 2_000_000
-REMEMBERED = 300_000
+#: Text bytes that are scored at a time: the more, the fewer searches for what repeats.
+SCORED_BYTES = 8 << 20
+#: Bytes of the longest word that is hashed together with others; masks of the first bytes of a block.
+LONGEST_MIXED = 32
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 # --- Elias-Fano --------------------------------------------------------------------------------------
 
 
+#: Elements of the widest range that is searched by counting zeros instead of selecting them.
+NEAR = 16
+
+
+#: Place of the j-th one of a byte, at byte * 8 + j.
+PLACES = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _ones = [i for i in range(8) if _byte >> i & 1]
+    PLACES[_byte, : len(_ones)] = _ones
+PLACES = PLACES.reshape(-1)
+BYTES = np.uint64(0x0101010101010101)  # times a number: the number in every byte
+
+
+def select(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Place of the left-th one (from 0) of each 64-bit word: its byte by sums over all bytes, then a table."""
+    u = np.uint64
+    sums = bits - ((bits >> u(1)) & (u(0x55) * BYTES))
+    sums = (sums & (u(0x33) * BYTES)) + ((sums >> u(2)) & (u(0x33) * BYTES))
+    sums = ((sums + (sums >> u(4))) & (u(0x0F) * BYTES)) * BYTES  # ones up to each byte
+    left = left.astype(u)
+    before = np.bitwise_count(((left * BYTES | u(0x80) * BYTES) - sums) & (u(0x80) * BYTES))  # bytes with as many ones or fewer
+    shift = np.minimum(before.astype(u) << u(3), u(56))
+    left -= ((sums << u(8)) >> shift) & u(255)
+    byte = (bits >> shift) & u(255)
+    return (shift + PLACES[((byte << u(3)) + left) & u(2047)]).astype(np.int64)
+
+
 class EliasFano:
     """A monotone sequence of n integers below `universe`: low bits packed, high bits in unary.
 
@@ -89,16 +120,7 @@ class EliasFano:
         k = h - 1  # the zero before them has this number
         word = np.maximum(np.searchsorted(self.zeros, k.astype(np.int64), side="right") - 1, 0)
         bits = self.high[word]
-        left = k - self.zeros[word].astype(np.int64)
-        rest = ~bits
-        place = np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):  # select the left-th zero of the word
-            low = rest & np.uint64((1 << step) - 1)
-            ones = np.bitwise_count(low)
-            go = ones <= left
-            left = left - ones * go
-            place += step * go
-            rest = np.where(go, rest >> np.uint64(step), low)
+        place = select(~bits, k - self.zeros[word].astype(np.int64))
         place[h == 0] = -1
         first = word * 64 + place - k
         first[h == 0] = 0
@@ -111,16 +133,13 @@ class EliasFano:
             number[over] = 63 - place[over] + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
             far = over[(rest == 0) | (word[over] + 1 >= len(self.high))]
             if len(far):
-                number[far] = np.where(h[far] + 1 > self.zeros[-1], self.n, self._first(h[far] + 1)) - first[far]
+                number[far] = np.where(h[far] + 1 > self.zeros[-1], self.n, self._first(np.minimum(h[far] + 1, np.int64(self.zeros[-1])))) - first[far]
         return first, number
 
     def _first(self, h: np.ndarray) -> np.ndarray:
         k = h - 1
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = k - self.zeros[word].astype(np.int64)
-        bits = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        place = ((1 - bits.astype(np.int64)).cumsum(axis=1) <= left[:, None]).sum(axis=1)
-        return word * 64 + place - k
+        return word * 64 + select(~self.high[word], k - self.zeros[word].astype(np.int64)) - k
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -128,21 +147,48 @@ class EliasFano:
         bit = i * self.low_bits
         return (self.window[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
-    def access(self, i: np.ndarray) -> np.ndarray:
-        """The elements with indices i."""
+    def access(self, i: np.ndarray, following: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        """The elements with indices i; and the ones after them, if asked for."""
         if not hasattr(self, "ones"):
             self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(self.ones, i, side="right") - 1
-        left, rest = i - self.ones[word], self.high[word]
-        place = np.zeros(len(i), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):  # select the left-th one of the word
-            low = rest & np.uint64((1 << step) - 1)
-            ones = np.bitwise_count(low)
-            go = ones <= left
-            left = left - ones * go
-            place += step * go
-            rest = np.where(go, rest >> np.uint64(step), low)
-        return ((word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(i)
+        bits = self.high[word]
+        place = select(bits, i - self.ones[word])
+        own = ((word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(i)
+        if not following:
+            return own
+        # the next one of the bit vector, in this word or in a later one
+        bits &= ~np.uint64(1) << place.astype(np.uint64)
+        empty = np.flatnonzero(bits == 0)
+        while len(empty):
+            word[empty] += 1
+            bits[empty] = self.high[word[empty]]
+            empty = empty[bits[empty] == 0]
+        place = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        return own, ((word * 64 + place - i - 1).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(i + 1)
+
+    def find_near(self, high: np.ndarray, want: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Index from first to last of the element with each high and low half, -1 if there is none.
+
+        Element i with high half h is the one at bit h + i, after h zeros: zeros are counted, none is selected.
+        """
+        result = np.full(len(high), -1, np.int64)
+        open_ = np.flatnonzero(first < last)
+        high, want, first, last = high[open_], want[open_], first[open_], last[open_]
+        while len(open_):
+            mid = (first + last) >> 1
+            bit = high + mid
+            word, place = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
+            bits, value = self.high[word], self.low_of(mid)
+            zeros = self.zeros[word] + np.bitwise_count(~bits & (place - np.uint64(1)))
+            here = (zeros == high) & ((bits & place) != 0)
+            hit = here & (value == want)
+            result[open_[hit]] = mid[hit]
+            less = (zeros < high) | (here & (value < want))
+            first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
+            on = ~hit & (first < last)
+            open_, high, want, first, last = open_[on], high[on], want[on], first[on], last[on]
+        return result
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of each x (uint64), -1 where the successor of x isn't x; among the indices from lo to hi, if given."""
@@ -150,12 +196,18 @@ class EliasFano:
         if not self.n or not len(x):
             return result
         high, want = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
-        first, number = self.bucket(high)
+        open_ = np.arange(len(x))
+        if lo is not None:
+            near = np.flatnonzero(hi - lo <= NEAR)
+            result[near] = self.find_near(high[near], want[near], lo[near], hi[near])
+            open_ = np.flatnonzero(hi - lo > NEAR)
+        first, number = self.bucket(high[open_])
         last = first + number
         if lo is not None:
-            first, last = np.maximum(first, lo), np.minimum(last, hi)
-        open_ = np.flatnonzero(first < last)
-        first, last, want = first[open_], last[open_], want[open_]
+            first, last = np.maximum(first, lo[open_]), np.minimum(last, hi[open_])
+        some = np.flatnonzero(first < last)
+        open_, first, last = open_[some], first[some], last[some]
+        want = want[open_]
         # successor of the low half among equal high halves: their number is one on average
         while len(open_):
             mid = (first + last) >> 1
@@ -264,45 +316,58 @@ def codes_of(places: np.ndarray, table: np.ndarray) -> np.ndarray:
 # --- tokens ------------------------------------------------------------------------------------------
 
 
-class Vocabulary(dict):
-    """word -> number in order of first sight, with the words' hashes; emptied between chunks when it is large."""
-
-    def __init__(self) -> None:
-        self.generation = 0
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.generation += 1
-        self.new: list[int] = []
-        self.hashes = np.zeros(0, np.uint64)
-        self.end = self[b"E"]  # texts have no capital letters when they are looked up
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(int(END_HASH) if word == b"E" else xxhash.xxh3_64_intdigest(word))
-        return number
-
-    def settle(self) -> None:
-        if self.new:
-            self.hashes = np.concatenate([self.hashes, np.array(self.new, np.uint64)])
-            self.new = []
-
-
-def token_numbers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, Vocabulary]:
-    """(number of each token, offsets of the texts, vocabulary); every text ends with the end token."""
-    cache = worker_cache()
-    words = cache.get("lm_vocabulary")
-    if words is None or len(words) > REMEMBERED:
-        words = cache["lm_vocabulary"] = words or Vocabulary()
-        if len(words) > REMEMBERED:
-            words.clear()
-    raw, o = data.tobytes().lower(), off.tolist()
-    # a capital letter marks the texts' ends in a single split
-    tokens = b" E ".join([raw[a:b] for a, b in zip(o, o[1:])] + [b""]).split()
-    numbers = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    words.settle()
-    return numbers, np.concatenate([[0], np.flatnonzero(numbers == words.end) + 1]), words
+def mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers in which every bit depends on all."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in `raw`: their length, then eight bytes after eight; long words by xxhash."""
+    window = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), 0, (1,))  # eight bytes from any byte on
+    hashes = mix(lengths.astype(np.uint64))
+    short = np.flatnonzero(lengths <= LONGEST_MIXED)
+    for j in range(0, LONGEST_MIXED, 8):
+        short = short[lengths[short] > j] if j else short
+        if not len(short):
+            break
+        block = window[starts[short] + j] & LOW_BYTES[np.minimum(lengths[short] - j, 8)]
+        hashes[short] = mix(hashes[short] ^ block)
+    for i in np.flatnonzero(lengths > LONGEST_MIXED).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + lengths[i]])
+    return hashes
+
+
+def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, offsets of the texts); every text ends with the end token."""
+    inside = ((data - np.uint8(9)) > 4) & (data != 32)
+    fresh, last = inside.copy(), inside.copy()
+    fresh[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # no word goes on in the next text
+    full = np.flatnonzero(np.diff(off))
+    fresh[off[full]] = inside[off[full]]
+    last[off[full + 1] - 1] = inside[off[full + 1] - 1]
+    starts = np.flatnonzero(fresh)
+    at = np.searchsorted(starts, off) + np.arange(len(off))
+    hashes = np.full(int(at[-1]), END_HASH)
+    words = np.ones(len(hashes), bool)
+    words[at[1:] - 1] = False
+    hashes[words] = word_hashes(data.tobytes().lower(), starts, np.flatnonzero(last) + 1 - starts)
+    return hashes, at
+
+
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined while they have at most `most` bytes; a single larger one stays as it is."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -336,8 +401,8 @@ class Level:
             return contexts, contexts
         fresh = np.concatenate([[True], contexts[1:] != contexts[:-1]])
         own, back = contexts[fresh], np.cumsum(fresh) - 1
-        ends = self.pointers.access(np.concatenate([own, own + 1])).astype(np.int64)
-        return ends[: len(own)][back], ends[len(own) :][back]
+        first, last = self.pointers.access(own, True)
+        return first.astype(np.int64)[back], last.astype(np.int64)[back]
 
 
 class Trie:
@@ -349,7 +414,6 @@ class Trie:
         self.hashes, self.cumulative = a["hashes"], a["cumulative"]
         self.total, self.size, self.shards, self.discount = meta["total"], len(self.hashes), meta["shards"], meta["discount"]
         self.levels: dict[tuple, Level | np.ndarray] = {}
-        self.generation, self.known_ids = -1, np.zeros(0, np.int64)
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         return self.cumulative[ids + 1] - self.cumulative[ids]
@@ -375,20 +439,16 @@ class Trie:
             self.levels[k, shard] = Level(self.folder, k, shard)
         return self.levels[k, shard]
 
-    def ids(self, numbers: np.ndarray, words: Vocabulary) -> np.ndarray:
-        """Word ids, -1 for unknown words; each word of the vocabulary is searched once."""
-        if self.generation != words.generation:
-            self.generation, self.known_ids = words.generation, np.zeros(0, np.int64)
-        fresh = words.hashes[len(self.known_ids) :]
-        if len(fresh):
-            order = np.argsort(fresh)
-            at = np.searchsorted(self.hashes, fresh[order])
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids, -1 for unknown words, and the words' counts; each distinct word is searched once, in order."""
+        own, back = np.unique(hashes, return_inverse=True)
+        found, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
+        if self.size:
+            at = np.searchsorted(self.hashes, own)
             at[at == self.size] = 0
-            found = np.full(len(fresh), -1, np.int64)
-            if self.size:
-                found[order] = np.where(self.hashes[at] == fresh[order], at, -1)
-            self.known_ids = np.concatenate([self.known_ids, found])
-        return self.known_ids[numbers]
+            hit = np.flatnonzero(self.hashes[at] == own)
+            found[hit], counts[hit] = at[hit], self.counts(at[hit])
+        return found[back], counts[back]
 
     def bounds(self, k: int) -> np.ndarray:
         """First global rank of each shard at level k >= 2."""
@@ -433,13 +493,12 @@ class Trie:
             value[some], left[some] = p[back], rest[back]
         return rank, value, left
 
-    def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of texts with offsets `at`."""
-        known = ids >= 0
+    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, with its count, of texts with offsets `at`."""
         p = np.full(len(ids), 1.0 / (self.size + 1))
         if self.total:
             p *= self.discount * self.size / self.total
-            p[known] += np.maximum(self.counts(ids[known]) - self.discount, 0) / self.total
+            p += np.maximum(counts - self.discount, 0) / self.total
         rank = ids  # global rank of the k-gram that ends at each token
         for k in range(2, self.order + 1):
             rank, value, left = self.lookup(k, preceding(rank, at, k), ids, True)
@@ -528,12 +587,10 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
         for batch in batches:
             for _, data, off in text_chunks(batch):
-                numbers, _, words = token_numbers(data, off)
-                times = np.bincount(numbers, minlength=len(words))
-                seen = np.flatnonzero(times)
-                keys.append(words.hashes[seen])
-                counts.append(times[seen])
-                held += len(seen)
+                own, times = np.unique(token_hashes(data, off)[0], return_counts=True)
+                keys.append(own)
+                counts.append(times)
+                held += len(own)
                 if held > MOST_HELD:
                     k, c = merge(keys, counts)
                     keys[:], counts[:], held = [k], [c], len(k)
@@ -579,8 +636,8 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
             for batch in batches:
                 for _, data, off in text_chunks(batch):
-                    numbers, at, words = token_numbers(data, off)
-                    ids = model.ids(numbers, words)
+                    hashes, at = token_hashes(data, off)
+                    ids = model.ids(hashes)[0]
                     rank = ids
                     for j in range(2, k):
                         rank = model.lookup(j, preceding(rank, at, j), ids, False)[0]
@@ -644,8 +701,8 @@ def _first_levels(source: DataFrame, folder: str, shards: int, most: int) -> Non
 
         for batch in batches:
             for _, data, off in text_chunks(batch):
-                numbers, at, words = token_numbers(data, off)
-                ids = model.ids(numbers, words)
+                hashes, at = token_hashes(data, off)
+                ids = model.ids(hashes)[0]
                 one = preceding(ids, at, 2)
                 some = np.flatnonzero(one >= 0)
                 x, y, back = distinct_pairs(one[some], ids[some], size)
@@ -854,22 +911,19 @@ def score(df: DataFrame, model: tuple[str, int], order: int = ORDER, id_col: str
 
     def run(batches):
         own = trie(folder, order)
-        for batch in batches:
-            for part, data, off in text_chunks(batch):
-                numbers, at, words = token_numbers(data, off)
-                ids = own.ids(numbers, words)
-                known = ids >= 0
-                counts = np.zeros(len(ids))
-                counts[known] = own.counts(ids[known])
+        for batch in joined(batches, SCORED_BYTES):
+            for part, data, off in text_chunks(batch, most=SCORED_BYTES):
+                hashes, at = token_hashes(data, off)
+                ids, counts = own.ids(hashes)
                 base = np.log10((counts + 1) / (own.total + own.size + 1))
                 sums = lambda x: np.add.reduceat(x, at[:-1])
                 columns = [
                     part.column(0),
                     pa.array(np.diff(at)),
-                    pa.array(sums(known.astype(np.int64))),
+                    pa.array(sums((ids >= 0).astype(np.int64))),
                     pa.array(np.full(part.num_rows, total, np.int64)),
                     pa.array(sums(base)),
-                    pa.array(sums(own.log_probabilities(ids, at))),
+                    pa.array(sums(own.log_probabilities(ids, counts, at))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

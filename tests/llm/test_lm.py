@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from larkspur.llm import ngram_lm as lm
 from tests.llm import fixtures
@@ -22,6 +24,29 @@ def test_elias_fano_finds_what_it_holds(n, u):
     assert ef.find(q).tolist() == [at.get(int(x), -1) for x in q]
 
 
+@pytest.mark.parametrize("hot", [1, 15, 16, 17, 300, 5000])
+def test_search_in_a_range(hot):
+    """Ranges on both sides of the width from which another search is taken; one range holds most elements."""
+    r = np.random.default_rng(hot)
+    sizes = np.array([0, 3, hot, 0, 0, 1, 16, 17, 2])
+    size = 20_000
+    v = np.concatenate([c * size + np.sort(r.choice(size, n, replace=False)) for c, n in enumerate(sizes)]).astype(np.uint64)
+    ef = lm.EliasFano.build(v, len(sizes) * size)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    q = np.concatenate([v, r.integers(0, len(sizes) * size, 3000).astype(np.uint64)])
+    context = (q // np.uint64(size)).astype(np.int64)
+    at = {int(x): i for i, x in enumerate(v)}
+    assert ef.find(q, ends[context], ends[context + 1]).tolist() == [at.get(int(x), -1) for x in q]
+
+
+def test_select():
+    r = np.random.default_rng(5)
+    bits = np.concatenate([r.integers(0, 2**64, 500, np.uint64), r.integers(0, 2**64, 500, np.uint64) & r.integers(0, 2**64, 500, np.uint64) >> np.uint64(40), np.array([1, 2**63, 2**64 - 1], np.uint64)])
+    for b in bits.tolist():
+        ones = [i for i in range(64) if b >> i & 1]
+        assert lm.select(np.full(len(ones), b, np.uint64), np.arange(len(ones))).tolist() == ones
+
+
 def test_packing_round_trip():
     r = np.random.default_rng(1)
     k = np.unique(r.integers(0, 2**60, 5000).astype(np.uint64))
@@ -101,6 +126,56 @@ def test_pointers_give_the_children():
     assert (ef.access(i) == v[i]).all()
 
 
+def test_pointers_give_the_next_too():
+    v = np.sort(np.random.default_rng(3).choice([0, 1, 700, 701, 9000], 400)).astype(np.uint64)  # long runs, long gaps
+    ef = lm.EliasFano.build(v, 9001)
+    i = np.arange(len(v) - 1)
+    own, after = ef.access(i, True)
+    assert (own == v[:-1]).all() and (after == v[1:]).all()
+
+
+ODD = ["", " ", "a", " A\tb\n", "a\x0bb\x0cc\r", "x" * 31, "x" * 32, "x" * 33, "X" * 500 + " x", "\x00 \x00\x00 \x08 \x0e\x1f", "Straße ÄÖ\u00a0ü\u2003", "e E \x1c \x85", None, "b", "bb bbbbbbbb bbbbbbbbb", "end"]
+
+
+def chunk(texts):
+    ((_, data, off),) = lm.text_chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
+    return data, off
+
+
+def test_tokens_of_odd_texts():
+    """The same texts' words and ends as splitting gives; equal hashes exactly for equal words."""
+    hashes, at = lm.token_hashes(*chunk(ODD))
+    want = [w for t in ODD for w in tokens(t)]
+    assert np.diff(at).tolist() == [len(tokens(t)) for t in ODD] and len(hashes) == len(want)
+    assert len(set(zip(hashes.tolist(), want))) == len(set(hashes.tolist())) == len(set(want))
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """CPU seconds: no step of Python for each short word."""
+    calls = []
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or 7)
+    lm.token_hashes(*chunk([f"w{i} v{i % 7}" for i in range(2000)] + ["y" * 40]))
+    assert calls == [b"y" * 40]
+
+
+def test_batches_are_scored_together(spark, monkeypatch):
+    """CPU seconds: what repeats in the next small batch is searched once; scores are those of the batches alone."""
+    texts = [t for _, t in fixtures.numbered(40)]
+    model = lm.train(fixtures.frame(spark, fixtures.numbered(40)), 3, 4)
+    monkeypatch.setattr(lm, "map_arrow", lambda df, fn, schema: fn)
+    run = lm.score(fixtures.frame(spark, []), model)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    searched = []
+    find = lm.EliasFano.find
+    monkeypatch.setattr(lm.EliasFano, "find", lambda self, x, *more: searched.append(len(x)) or find(self, x, *more))
+    alone = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    once = sum(searched)
+    assert pa.Table.from_batches(run(iter([batch] * 3))).to_pylist() == alone * 3
+    assert sum(searched) == 2 * once > 0
+    assert sum(b.num_rows for b in lm.joined(iter([batch] * 5), batch.nbytes * 2)) == 5 * len(texts)
+    assert [b.num_rows for b in lm.joined(iter([batch] * 3), 1)] == [len(texts)] * 3
+
+
 def test_query(spark, tmp_path):
     rows = fixtures.numbered()
     out = lm.op2_lm(spark, fixtures.tables(tmp_path, spark, rows)).collect()
