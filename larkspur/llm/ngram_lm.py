@@ -13,7 +13,8 @@ tokens as the words' counts foretell them, so a frequent first word takes severa
 doesn't depend on the cuts: discounts and tables are of a whole level, and a first word that is cut has its
 children counted over all its shards. Per n-gram the trie keeps the discounted probability, per context the
 share left for shorter contexts, both as codes of a level's table of 256 quantiles. Files are mapped into
-memory by the tasks that score: their pages belong to the file cache, not to the worker.
+memory by the tasks that score: their pages belong to the file cache, not to the worker. Shards are joined to one file
+a level once they are written, which is searched as a whole: how many shards there were makes no difference to a search.
 
 Smoothing is interpolated absolute discounting: p(w|h) = max(c(hw)-D, 0)/c(h) + D*T(h)/c(h) * p(w|h'),
 with D = n1/(n1+2*n2) of each level; below words is the uniform 1/(V+1), which is what an unknown word
@@ -25,6 +26,7 @@ words are unknown. Very long texts are counted and scored whole; other columns t
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 from collections.abc import Iterator
@@ -45,6 +47,8 @@ END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 MOST_HELD = 2_000_000
 #: Text bytes that are scored at a time: the more, the fewer searches for what repeats.
 SCORED_BYTES = 8 << 20
+#: n-grams that are searched at a time: what belongs to them stays in a core's cache.
+SEARCHED = 1 << 14
 #: Bytes of the longest word that is hashed together with others; masks of the first bytes of a block.
 LONGEST_MIXED = 32
 LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -86,13 +90,23 @@ class EliasFano:
     The high half is a bit vector with a one for each element, a zero for each step of the high part; zeros
     are counted at every 64th bit. The elements with high part h follow the h-th zero: selecting it gives
     their first index, the run of ones their number.
+
+    Sequences may also lie one after another as sections (join): their bit vectors make one, whose elements and zeros are
+    numbered on, and their low bits, as many as a section has, follow each other.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray | None):
         self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+        self.sections(np.array([low_bits]), *np.zeros((3, 1), np.int64))
         # eight bytes from any byte on
         self.window = np.lib.stride_tricks.as_strided(low.view("<u8"), (max(0, len(low) - 7),), (1,)) if len(low) else np.zeros(1, np.uint64)
 
+    def sections(self, low_bits: np.ndarray, index: np.ndarray, low: np.ndarray, high: np.ndarray) -> EliasFano:
+        """Low bits of the sections, and their first index, byte of `low` and word of `high`."""
+        self.width, self.mask = low_bits.astype(np.int64), (np.uint64(1) << low_bits.astype(np.uint64)) - np.uint64(1)
+        self.low_at, self.zeros_before = 8 * low - index * low_bits, 64 * high - index
+        return self
+
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
@@ -141,20 +155,19 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k, side="right") - 1
         return word * 64 + select(~self.high[word], k - self.zeros[word].astype(np.int64)) - k
 
-    def low_of(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.uint64)
-        bit = i * self.low_bits
-        return (self.window[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+    def low_of(self, i: np.ndarray, section: np.ndarray | int = 0) -> np.ndarray:
+        bit = i * self.width[section] + self.low_at[section]
+        return (self.window[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask[section]
 
-    def access(self, i: np.ndarray, following: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    def access(self, i: np.ndarray, section: np.ndarray | int = 0, following: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
         """The elements with indices i; and the ones after them, if asked for."""
         if not hasattr(self, "ones"):
             self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
         word = np.searchsorted(self.ones, i, side="right") - 1
         bits = self.high[word]
         place = select(bits, i - self.ones[word])
-        own = ((word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(i)
+        width, skip = self.width[section].astype(np.uint64), i + self.zeros_before[section]
+        own = ((word * 64 + place - skip).astype(np.uint64) << width) | self.low_of(i, section)
         if not following:
             return own
         # the next one of the bit vector, in this word or in a later one
@@ -165,21 +178,21 @@ class EliasFano:
             bits[empty] = self.high[word[empty]]
             empty = empty[bits[empty] == 0]
         place = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        return own, ((word * 64 + place - i - 1).astype(np.uint64) << np.uint64(self.low_bits)) | self.low_of(i + 1)
+        return own, ((word * 64 + place - skip - 1).astype(np.uint64) << width) | self.low_of(i + 1, section)
 
-    def find_near(self, high: np.ndarray, want: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def find_near(self, high: np.ndarray, want: np.ndarray, first: np.ndarray, last: np.ndarray, section: np.ndarray) -> np.ndarray:
         """Index from first to last of the element with each high and low half, -1 if there is none.
 
         Element i with high half h is the one at bit h + i, after h zeros: zeros are counted, none is selected.
         """
         result = np.full(len(high), -1, np.int64)
         open_ = np.flatnonzero(first < last)
-        high, want, first, last = high[open_], want[open_], first[open_], last[open_]
+        high, want, first, last, section = high[open_], want[open_], first[open_], last[open_], section[open_]
         while len(open_):
             mid = (first + last) >> 1
             bit = high + mid
             word, place = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
-            bits, value = self.high[word], self.low_of(mid)
+            bits, value = self.high[word], self.low_of(mid, section)
             zeros = self.zeros[word] + np.bitwise_count(~bits & (place - np.uint64(1)))
             here = (zeros == high) & ((bits & place) != 0)
             hit = here & (value == want)
@@ -187,19 +200,20 @@ class EliasFano:
             less = (zeros < high) | (here & (value < want))
             first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
             on = ~hit & (first < last)
-            open_, high, want, first, last = open_[on], high[on], want[on], first[on], last[on]
+            open_, high, want, first, last, section = open_[on], high[on], want[on], first[on], last[on], section[on]
         return result
 
-    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None, section: np.ndarray | None = None) -> np.ndarray:
         """Index of each x (uint64), -1 where the successor of x isn't x; among the indices from lo to hi, if given."""
         result = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return result
-        high, want = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
+        section = np.zeros(len(x), np.int64) if section is None else section
+        high, want = (x >> self.width[section].astype(np.uint64)).astype(np.int64) + self.zeros_before[section], x & self.mask[section]
         open_ = np.arange(len(x))
         if lo is not None:
             near = np.flatnonzero(hi - lo <= NEAR)
-            result[near] = self.find_near(high[near], want[near], lo[near], hi[near])
+            result[near] = self.find_near(high[near], want[near], lo[near], hi[near], section[near])
             open_ = np.flatnonzero(hi - lo > NEAR)
         first, number = self.bucket(high[open_])
         last = first + number
@@ -207,17 +221,17 @@ class EliasFano:
             first, last = np.maximum(first, lo[open_]), np.minimum(last, hi[open_])
         some = np.flatnonzero(first < last)
         open_, first, last = open_[some], first[some], last[some]
-        want = want[open_]
+        want, section = want[open_], section[open_]
         # successor of the low half among equal high halves: their number is one on average
         while len(open_):
             mid = (first + last) >> 1
-            value = self.low_of(mid)
+            value = self.low_of(mid, section)
             hit = value == want
             result[open_[hit]] = mid[hit]
             less = value < want
             first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
             on = ~hit & (first < last)
-            open_, first, last, want = open_[on], first[on], last[on], want[on]
+            open_, first, last, want, section = open_[on], first[on], last[on], want[on], section[on]
         return result
 
     def values(self) -> np.ndarray:
@@ -246,6 +260,20 @@ def save_arrays(path: str, arrays: dict[str, np.ndarray], **meta) -> None:
     write_shared(path, write)
 
 
+def reserve(path: str, **arrays: tuple[str, int]) -> dict[str, int]:
+    """A file for arrays of these types and sizes, to be written by others; where each begins."""
+    head, end = {}, 0
+    for name, (kind, size) in arrays.items():
+        head[name] = (kind, end, size)
+        end += -(-np.dtype(kind).itemsize * size // 64) * 64
+    line = json.dumps({"arrays": head, "meta": {}}).encode()
+    start = -(-(len(line) + 1) // 64) * 64
+    with open(path, "wb") as f:
+        f.write(line.ljust(start - 1) + b"\n")
+        f.truncate(start + end)
+    return {name: start + at for name, (_, at, _) in head.items()}
+
+
 def map_arrays(path: str) -> tuple[dict[str, np.ndarray], dict]:
     with open(path, "rb") as f:
         line = f.readline()
@@ -379,30 +407,44 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Level:
-    """One shard of level k >= 2."""
-
-    def __init__(self, folder: str, k: int, shard: int):
-        a, meta = map_arrays(f"{folder}/level{k}-{shard}")
-        self.folder, self.k, self.shard = folder, k, shard
-        self.contexts, self.low = meta["contexts"], meta["low"]
-        self.keys = EliasFano(meta["n"], meta["low_bits"], a["low"], a["high"], a["zeros"])
-        self.pointers = EliasFano(meta["contexts"] + 1, meta["p_low_bits"], a["p_low"], a["p_high"], a["p_zeros"])
+    """Level k >= 2: the sequences and pointers of all shards, joined."""
+
+    def __init__(self, folder: str, k: int):
+        self.folder, self.k = folder, k
+        a, t = map_arrays(f"{folder}/level{k}")[0], map_arrays(f"{folder}/sections{k}")[0]
+        #: First index and first context of each shard, and the end; first words, of level 2.
+        self.starts, self.contexts, self.low = t["starts"], t["contexts"], t["first"]
+        self.keys = EliasFano(int(self.starts[-1]), 0, a["low"], a["high"], a["zeros"])
+        self.keys.sections(t["low_bits"], self.starts[:-1], t["low"][:-1], t["high"][:-1])
+        shards = len(self.low)
+        # a shard has a pointer more than contexts
+        self.first_pointer = self.contexts[:-1] + np.arange(shards)
+        self.pointers = EliasFano(int(self.contexts[-1]) + shards, 0, a["p_low"], a["p_high"], None)
+        self.pointers.sections(t["p_low_bits"], self.first_pointer, t["p_low"][:-1], t["p_high"][:-1])
+        self.pointers.ones = a["p_ones"]
+        self.places = t
 
     def load_codes(self) -> None:
         if not hasattr(self, "codes"):
-            a = map_arrays(f"{self.folder}/codes{self.k}-{self.shard}")[0]
+            a = map_arrays(f"{self.folder}/codes{self.k}")[0]
             tables = map_arrays(f"{self.folder}/tables{self.k}")[0]
             self.codes, self.left_codes = a["codes"], a["left_codes"]
             self.table, self.left_table = (2.0 ** (-tables[x] / FINE) for x in ("table", "left_table"))
 
-    def children(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First child and the one after the last of sorted contexts."""
-        if not len(contexts):
-            return contexts, contexts
-        fresh = np.concatenate([[True], contexts[1:] != contexts[:-1]])
-        own, back = contexts[fresh], np.cumsum(fresh) - 1
-        first, last = self.pointers.access(own, True)
-        return first.astype(np.int64)[back], last.astype(np.int64)[back]
+    def pointers_of(self, shard: int) -> np.ndarray:
+        """All pointers of a shard, from 0."""
+        t = self.places
+        low, high = (a[int(t[n][shard]) : int(t[n][shard + 1])] for n, a in (("p_low", self.pointers.low), ("p_high", self.pointers.high)))
+        return EliasFano(int(self.contexts[shard + 1] - self.contexts[shard]) + 1, int(t["p_low_bits"][shard]), low, high, None).values().astype(np.int64)
+
+    def children(self, contexts: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child and the one after the last of contexts, numbered in their shards, sorted by shard and context."""
+        place = contexts + self.first_pointer[shard]
+        fresh = np.concatenate([[True], place[1:] != place[:-1]])
+        back, own = np.cumsum(fresh) - 1, shard[fresh]
+        first, last = self.pointers.access(place[fresh], own, True)
+        start = self.starts[own]
+        return (first.astype(np.int64) + start)[back], (last.astype(np.int64) + start)[back]
 
 
 class Trie:
@@ -413,7 +455,7 @@ class Trie:
         a, meta = map_arrays(f"{folder}/words")
         self.hashes, self.cumulative = a["hashes"], a["cumulative"]
         self.total, self.size, self.shards, self.discount = meta["total"], len(self.hashes), meta["shards"], meta["discount"]
-        self.levels: dict[tuple, Level | np.ndarray] = {}
+        self.levels: dict[int | tuple, Level | np.ndarray] = {}
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         return self.cumulative[ids + 1] - self.cumulative[ids]
@@ -434,10 +476,14 @@ class Trie:
         high = int(np.searchsorted(self.cumulative, int((shard + 1) * step) + 1, side="right")) + 1
         return max(0, low), min(self.size, max(high, 1))
 
-    def level(self, k: int, shard: int) -> Level:
-        if (k, shard) not in self.levels:
-            self.levels[k, shard] = Level(self.folder, k, shard)
-        return self.levels[k, shard]
+    def level(self, k: int) -> Level:
+        if k not in self.levels:
+            self.levels[k] = Level(self.folder, k)
+        return self.levels[k]
+
+    def size_of(self, k: int, shard: int) -> int:
+        bounds = self.bounds(k)
+        return int(bounds[shard + 1] - bounds[shard])
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids, -1 for unknown words, and the words' counts; each distinct word is searched once, in order."""
@@ -460,7 +506,7 @@ class Trie:
         """Global rank at level k of (context's global rank, word), -1 if there is none; with the discounted
         probability and the context's share for shorter contexts where `score` asks for them.
 
-        Each distinct pair is searched once, in order, shard by shard.
+        Each distinct pair is searched once, in order, some at a time whatever their shards are.
         """
         rank, value, left = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
         some = np.flatnonzero((context >= 0) & ((word >= 0) | score))
@@ -468,26 +514,29 @@ class Trie:
             return rank, value, left
         own_context, own_word, back = distinct_pairs(context[some], word[some] + 1, self.size + 1)
         own_word = own_word - 1
-        after = self.bounds(k)
+        level = self.level(k)
         found, p, rest = np.full(len(own_word), -1, np.int64), np.zeros(len(own_word)), np.ones(len(own_word))
         if k == 2:  # unknown words come with the first ones of their context
             cuts = np.searchsorted(self.pair_shard(own_context, np.maximum(own_word, 0)), np.arange(self.shards + 1))
         else:
             cuts = np.searchsorted(own_context, self.bounds(k - 1))
-        for shard in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = int(cuts[shard]), int(cuts[shard + 1])
-            level = self.level(k, shard)
-            local = own_context[a:b] - (level.low if k == 2 else self.bounds(k - 1)[shard])
-            begin, end = level.children(local)
-            known = (own_word[a:b] >= 0) & (begin < end)
-            at = np.full(b - a, -1, np.int64)
-            at[known] = level.keys.find(local[known].astype(np.uint64) * np.uint64(self.size) + own_word[a:b][known].astype(np.uint64), begin[known], end[known])
-            hit = np.flatnonzero(at >= 0)
-            found[a + hit] = at[hit] + after[shard]
+        before = level.low if k == 2 else self.bounds(k - 1)[:-1]
+        if score:
+            level.load_codes()
+        shards = np.repeat(np.arange(self.shards), np.diff(cuts))
+        for a in range(0, len(own_word), SEARCHED):
+            shard, word_ = shards[a : a + SEARCHED], own_word[a : a + SEARCHED]
+            local = own_context[a : a + SEARCHED] - before[shard]
+            begin, end = level.children(local, shard)
+            known = np.flatnonzero((word_ >= 0) & (begin < end))
+            key = local[known].astype(np.uint64) * np.uint64(self.size) + word_[known].astype(np.uint64)
+            at = level.keys.find(key, begin[known], end[known], shard[known])
+            hit = at >= 0
+            at, place = at[hit], a + known[hit]
+            found[place] = at
             if score:
-                level.load_codes()
-                p[a + hit] = level.table[level.codes[at[hit]]]
-                rest[a:b] = level.left_table[level.left_codes[local]]
+                p[place] = level.table[level.codes[at]]
+                rest[a : a + SEARCHED] = level.left_table[level.left_codes[local + level.contexts[shard]]]
         rank[some] = found[back]
         if score:
             value[some], left[some] = p[back], rest[back]
@@ -615,6 +664,8 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
     if order >= 2:
         _first_levels(source, folder, shards, min(order, 3))
+        for k in range(2, min(order, 3) + 1):
+            _join_level(spark, folder, k, shards)
     for k in range(4, order + 1):
 
         def count_grams(batches, k=k):
@@ -654,15 +705,16 @@ def train(df: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple
 
         def write_level(shard, keys, counts, k=k):
             model = trie(folder, k - 1)
-            found = _write_level(folder, k, shard, keys, counts, model.level(k - 1, shard).keys.n, model.size)
+            found = _write_level(folder, k, shard, keys, counts, model.size_of(k - 1, shard), model.size)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, *found), (pa.int32(), *[pa.int64()] * 3))], ["shard", "n", "once", "twice"])
 
         blocks = map_arrow(source, count_grams, "shard int, block binary")
         done = {r.shard: r for r in reduce_blocks(blocks, write_level, "shard int, n long, once long, twice long").collect()}
         model = Trie(folder, k - 1)
         for shard in set(range(shards)) - set(done):  # ranges without n-grams
-            _write_level(folder, k, shard, np.zeros(0, np.uint64), np.zeros(0, np.int64), model.level(k - 1, shard).keys.n, model.size)
+            _write_level(folder, k, shard, np.zeros(0, np.uint64), np.zeros(0, np.int64), model.size_of(k - 1, shard), model.size)
         _save_bounds(folder, k, [done[s].n if s in done else 0 for s in range(shards)], sum(r.once for r in done.values()), sum(r.twice for r in done.values()))
+        _join_level(spark, folder, k, shards)
     if order >= 2:
         _finish(spark, folder, shards, order)
     return folder, total
@@ -788,20 +840,69 @@ def _write_level(folder: str, k: int, shard: int, keys: np.ndarray, counts: np.n
     return len(keys), int((counts == 1).sum()), int((counts == 2).sum())
 
 
+def _join_level(spark, folder: str, k: int, shards: int) -> None:
+    """One file of a level from the shards' files, so that a search doesn't visit shard by shard.
+
+    The file gets its size first; a task writes its shards in their places and then their own files go, so that there is no
+    second copy of a level.
+    """
+    heads = []
+    for shard in range(shards):  # a line a shard
+        with open(f"{folder}/level{k}-{shard}", "rb") as f:
+            heads.append(json.loads(f.readline()))
+    starts = lambda sizes: np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    meta = lambda name: np.array([h["meta"][name] for h in heads], np.int64)
+    table = {"starts": starts(meta("n")), "contexts": starts(meta("contexts")), "first": meta("low"), "low_bits": meta("low_bits"), "p_low_bits": meta("p_low_bits")}
+    table |= {name: starts([h["arrays"][name][2] for h in heads]) for name in ("low", "high", "p_low", "p_high")}
+    size = {name: int(table[name][-1]) for name in ("low", "high", "p_low", "p_high")}
+    target = f"{folder}/level{k}"
+    at = reserve(target, low=("|u1", size["low"]), high=("<u8", size["high"]), zeros=("<i8", size["high"] + 1), p_low=("|u1", size["p_low"]), p_high=("<u8", size["p_high"]), p_ones=("<i8", size["p_high"] + 1))
+
+    def copy(batches):
+        for batch in batches:
+            done = []
+            with open(target, "r+b") as f:
+
+                def put(name, start, values):
+                    f.seek(at[name] + values.itemsize * int(start))
+                    f.write(values.tobytes())
+
+                for s in batch.column(0).to_pylist():
+                    source = f"{folder}/level{k}-{s}"
+                    try:
+                        a = map_arrays(source)[0]
+                    except FileNotFoundError:  # a repeated task: it is in its place
+                        continue
+                    for name in size:
+                        put(name, table[name][s], a[name])
+                    # the last number is the next shard's first
+                    put("zeros", table["high"][s], a["zeros"].astype("<i8") + (64 * table["high"][s] - table["starts"][s]))
+                    put("p_ones", table["p_high"][s], 64 * np.arange(len(a["p_zeros"]), dtype="<i8") - a["p_zeros"].astype("<i8") + (table["contexts"][s] + s))
+                    done.append(source)
+            for source in done:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(source)
+            yield batch
+
+    map_arrow(spark.range(0, shards, 1, min(shards, 64)), copy, "id long").count()
+    save_arrays(f"{folder}/sections{k}", table)
+
+
 def _ratios(model: Trie, k: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in the fine grid of a shard's discounted probabilities and of its contexts' shares for shorter ones."""
-    folder, level = model.folder, model.level(k, shard)
+    folder, level = model.folder, model.level(k)
+    contexts = int(level.contexts[shard + 1] - level.contexts[shard])
     bounds, meta = map_arrays(f"{folder}/bounds{k}")
     stored = map_arrays(f"{folder}/counts{k}-{shard}")[0]
     counts = stored["small"].astype(np.int64)
     counts[counts == 255] = stored["large"]
-    pointers = level.pointers.values().astype(np.int64)
+    pointers = level.pointers_of(shard)
     children = np.diff(pointers)
-    context = np.repeat(np.arange(level.contexts), children)
+    context = np.repeat(np.arange(contexts), children)
     if k == 2:
         # a word is followed by another token as often as it occurs, the end by none
-        words = np.arange(level.low, level.low + level.contexts)
-        sums = model.counts(words) if level.contexts else np.zeros(0, np.int64)
+        words = np.arange(level.low[shard], level.low[shard] + contexts)
+        sums = model.counts(words) if contexts else np.zeros(0, np.int64)
         end = int(np.searchsorted(model.hashes, END_HASH))
         sums[words == end] = 0
         at = np.searchsorted(bounds["cut"], words)
@@ -825,10 +926,10 @@ def _finish(spark, folder: str, shards: int, order: int) -> None:
             for shard in batch.column(0).to_pylist():
                 for k in range(2, order + 1):
                     model = trie(folder, order)
-                    level = model.level(k, shard)
+                    level = model.level(k)
                     places, left = _ratios(model, k, shard)
                     if k == 2:  # a context counts in the shard that its first children are in
-                        own = np.arange(level.low, level.low + level.contexts)
+                        own = level.low[shard] + np.arange(len(left))
                         left = left[model.pair_shard(own, np.zeros(len(own), np.int64)) == shard] if len(own) else left
                     for kind, x in enumerate((places, left)):
                         bins, times = np.unique(x, return_counts=True)
@@ -842,6 +943,9 @@ def _finish(spark, folder: str, shards: int, order: int) -> None:
             own = found.filter(pa.compute.equal(found["kind"], 2 * k + kind)).sort_by("bin")
             made[name] = table_of(own["bin"].to_numpy(), own["n"].to_numpy()) if own.num_rows else np.zeros(1, np.int64)
         save_arrays(f"{folder}/tables{k}", made)
+    own = Trie(folder, order)
+    sizes = {k: (own.level(k).starts, own.level(k).contexts) for k in range(2, order + 1)}
+    at = {k: reserve(f"{folder}/codes{k}", codes=("|u1", int(n[-1])), left_codes=("|u1", int(c[-1]))) for k, (n, c) in sizes.items()}
 
     def write(batches):
         for batch in batches:
@@ -849,7 +953,10 @@ def _finish(spark, folder: str, shards: int, order: int) -> None:
                 for k in range(2, order + 1):
                     tables = map_arrays(f"{folder}/tables{k}")[0]
                     places, left = _ratios(trie(folder, order), k, shard)
-                    save_arrays(f"{folder}/codes{k}-{shard}", {"codes": codes_of(places, tables["table"]), "left_codes": codes_of(left, tables["left_table"])})
+                    with open(f"{folder}/codes{k}", "r+b") as f:
+                        for name, x, start in zip(("codes", "left_codes"), (codes_of(places, tables["table"]), codes_of(left, tables["left_table"])), sizes[k]):
+                            f.seek(at[k][name] + int(start[shard]))
+                            f.write(x.tobytes())
             yield batch
 
     map_arrow(every, write, "id long").count()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -130,7 +131,7 @@ def test_pointers_give_the_next_too():
     v = np.sort(np.random.default_rng(3).choice([0, 1, 700, 701, 9000], 400)).astype(np.uint64)  # long runs, long gaps
     ef = lm.EliasFano.build(v, 9001)
     i = np.arange(len(v) - 1)
-    own, after = ef.access(i, True)
+    own, after = ef.access(i, following=True)
     assert (own == v[:-1]).all() and (after == v[1:]).all()
 
 
@@ -176,6 +177,38 @@ def test_batches_are_scored_together(spark, monkeypatch):
     assert [b.num_rows for b in lm.joined(iter([batch] * 3), 1)] == [len(texts)] * 3
 
 
+def test_searches_do_not_grow_with_shards(spark, monkeypatch):
+    """CPU seconds: a level is searched as a whole, not shard by shard."""
+    rows = fixtures.numbered(40)
+    df = fixtures.frame(spark, rows)
+    models = [lm.train(df, 3, shards) for shards in (1, 64)]
+    monkeypatch.setattr(lm, "map_arrow", lambda df, fn, schema: fn)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+    calls, scores = [], []
+    find = lm.EliasFano.find
+    monkeypatch.setattr(lm.EliasFano, "find", lambda self, x, *more: calls.append(len(x)) or find(self, x, *more))
+    for model in models:
+        scores.append(pa.Table.from_batches(lm.score(df, model)(iter([batch])))["score"].to_pylist())
+        calls.append(None)
+    assert scores[0] == scores[1]
+    one, many = calls[: calls.index(None)], calls[calls.index(None) + 1 : -1]
+    assert one == many and len(one) == 2
+    assert sorted(f for f in os.listdir(models[1][0])) == sorted(["words", *(f"{n}{k}" for k in (2, 3) for n in ("level", "sections", "bounds", "tables", "codes"))])
+
+
+def test_sections_are_one_sequence(spark):
+    """Pointers found across shards are those of each shard; many shards hold nothing."""
+    folder, _ = lm.train(fixtures.frame(spark, fixtures.numbered(20)), 3, 40)
+    for k in (2, 3):
+        level = lm.Level(folder, k)
+        sizes = np.diff(level.contexts)
+        shard = np.repeat(np.arange(40), sizes)
+        local = np.concatenate([np.arange(n) for n in sizes])
+        own = [level.pointers_of(s) + level.starts[s] for s in range(40)]
+        begin, end = level.children(local, shard)
+        assert begin.tolist() == [x for p in own for x in p[:-1].tolist()] and end.tolist() == [x for p in own for x in p[1:].tolist()]
+
+
 def test_query(spark, tmp_path):
     rows = fixtures.numbered()
     out = lm.op2_lm(spark, fixtures.tables(tmp_path, spark, rows)).collect()
