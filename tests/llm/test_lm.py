@@ -209,6 +209,17 @@ def test_sections_are_one_sequence(spark):
         assert begin.tolist() == [x for p in own for x in p[:-1].tolist()] and end.tolist() == [x for p in own for x in p[1:].tolist()]
 
 
+def test_repeated_tasks_do_no_harm(spark, monkeypatch):
+    """Every task of the training runs twice, also those that join shards and remove them."""
+    df = fixtures.frame(spark, fixtures.numbered(20))
+    want = sorted(r.score for r in lm.score(df, lm.train(df, 3, 5)).collect())
+    once = lm.map_arrow
+    monkeypatch.setattr(lm, "map_arrow", lambda df, fn, schema: (once(df, fn, schema).count(), once(df, fn, schema))[1])
+    model = lm.train(df, 3, 5)
+    monkeypatch.undo()
+    assert sorted(r.score for r in lm.score(df, model).collect()) == want
+
+
 def test_query(spark, tmp_path):
     rows = fixtures.numbered()
     out = lm.op2_lm(spark, fixtures.tables(tmp_path, spark, rows)).collect()
