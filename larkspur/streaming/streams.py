@@ -14,7 +14,12 @@ from larkspur.functions.chunks import chunk, streaming_chunks
 
 
 def stream_table(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """New Parquet files of a folder whose names fit the pattern."""
+    """New Parquet files of a folder whose names fit the pattern; where that names a folder itself, as of a table in parts, its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(s.isDirectory() for s in fs.globStatus(path) or []):
+        # a glob that ends in / * names the files, so that no base path is looked for
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{pattern}/*")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
 
 

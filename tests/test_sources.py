@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from larkspur.functions import providers
+from larkspur.plans import registry
 from larkspur.sources import readers, stores
 from larkspur.streaming.streams import Telemetry
 
@@ -63,3 +64,18 @@ def test_models_are_retried(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "id long, text string").coalesce(1)
     got = {r.id: (r.result, r.error) for r in providers.apply_model(rows, model, "text", retries=1).collect()}
     assert got == {1: ("A", None), 2: (None, "bad text"), 3: ("", None)} and calls.value == 2 + 1 + 2 + 1
+
+
+@pytest.fixture(scope="module")
+def in_parts(spark, data, tmp_path_factory):
+    """Documents and embeddings as folders of several files, as larger tables are."""
+    folder = tmp_path_factory.mktemp("parts")
+    for name in ("documents", "embeddings"):
+        spark.read.parquet(f"{data}/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["p10_ingestion_sink", "x1_stream_chunks", "x9_train_then_flush"])
+def test_streams_of_tables_in_parts(name, spark, data, in_parts):
+    run = registry.queries()[name]
+    assert sorted(map(tuple, run(spark, in_parts).collect())) == sorted(map(tuple, run(spark, data).collect()))
