@@ -79,3 +79,8 @@ def in_parts(spark, data, tmp_path_factory):
 def test_streams_of_tables_in_parts(name, spark, data, in_parts):
     run = registry.queries()[name]
     assert sorted(map(tuple, run(spark, in_parts).collect())) == sorted(map(tuple, run(spark, data).collect()))
+
+
+def test_discovery_of_sizes_reads_no_contents(spark, data):
+    plan = registry.queries()["s7_file_discovery"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "length" in plan
