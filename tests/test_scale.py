@@ -86,3 +86,40 @@ def test_encoding_in_steps_changes_no_code(monkeypatch):
     once = q.encode(x)
     monkeypatch.setattr(Q, "ENCODED", 7)
     assert (q.encode(x) == once).all()
+
+
+def test_texts_are_analyzed_once(spark, monkeypatch):
+    """Statistics, counts and the caller's two reads of the hits take one pass over the texts."""
+    docs = spark.createDataFrame([(1, "red fox red", "a"), (2, "blue fox", "a"), (3, "red sea and sand", "b"), (4, None, "b")], "doc_id long, text string, source string").repartition(1)
+    queries = spark.createDataFrame([(0, "red red fox"), (1, "sand"), (2, "")], "qid long, query string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    shown = docs.withColumn("text", counted("text"))
+    hits = S.bm25(shown, queries, 5)
+    assert len(hits.collect()) == hits.count() == 4 and calls.value == 4
+    for partition in (None, "source"):
+        listed = sorted(map(tuple, S.bm25(docs, queries, 5, partition=partition).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(S, "MOST_LISTED", 1)
+            assert listed == sorted(map(tuple, S.bm25(docs, queries, 5, partition=partition).collect()))
+
+
+def test_a_bucket_of_postings_is_dealt_to_several_files(spark, data, tmp_path):
+    import glob
+
+    docs, queries = spark.read.parquet(f"{data}/documents.parquet"), spark.createDataFrame([(0, "from heating erent")], "qid long, query string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = S.TextIndex.build(docs, str(tmp_path), 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{tmp_path}/postings/bucket=*/*.parquet")) > 4
+    assert rows(index.search(queries, 10)) == rows(S.bm25(docs, queries, 10))
